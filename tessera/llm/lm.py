@@ -2,7 +2,7 @@
 
 The model is a bigram model with Dirichlet smoothing: p(w | h) = (c(h w) + MU * p0(w)) / (c(h) + MU). p0 is the relative
 frequency for frequent words (a share of 1/FREQUENT or more, so at most FREQUENT of them) and shares the rest among all other
-words by a byte-bigram spelling model; so what is broadcast has a fixed bound at any size of the corpus.
+words, half of it evenly (unseen words together are one more word), half by a byte-trigram spelling model; so what is broadcast has a fixed bound at any size of the corpus.
 
 Scan tasks send each (context, word) to the shard of the context: a blob of a few bytes a token. A frequent context is dealt
 by context and word, its count is known from the broadcast table. A shard counts the pairs of its training documents, builds
@@ -22,19 +22,21 @@ from __future__ import annotations
 import mmap
 import struct
 import tempfile
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER_TABLE, materialise, shuffle_partitions
 
-MU = 30.0
-FREQUENT = 1 << 15
+MU = 300.0
+FREQUENT = 1 << 20
+#: Contexts of the spelling model: two bytes, hashed to this many rows.
+ROWS = 8192
 TOKENS_PER_FLUSH = 1_000_000
 TOKENS_PER_SHARD = 4_000_000
 END, START = b"\n", b"\t"  # no word has these bytes
@@ -178,39 +180,40 @@ class Trie:
         for (table, k), at in zip(places, spans):
             table[k] = np.frombuffer(memory, table[k].dtype, len(table[k]), at)
 
-    def query(self, contexts, words, log_p0) -> tuple[np.ndarray, np.ndarray]:
-        """log10 p of each word after its context, and the context's count; a new context has the back-off weight 1."""
-        n = len(contexts)
-        uniq, inverse = np.unique(contexts, return_inverse=True)
-        found = self.contexts.find(uniq)
-        start, stop = np.zeros(len(uniq), np.int64), np.zeros(len(uniq), np.int64)
+    def query(self, contexts, words, pair_context, pair_word, log_p0) -> np.ndarray:
+        """log10 p of pairs, given as indexes of contexts and words; a context that is not there has the back-off weight 1."""
+        found = self.contexts.find(contexts)
+        start, stop = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
+        weight = np.zeros(len(contexts))
         known = np.flatnonzero(found >= 0)
         start[known], stop[known] = self.pointers.get(found[known]).astype(np.int64), self.pointers.get(found[known] + 1).astype(np.int64)
-        counts, weight = np.zeros(len(uniq)), np.zeros(len(uniq))
-        counts[known] = self.counts[found[known]]
         weight[known] = self.backoff_values[self.backoff[found[known]]]
-        uniq_words, word_inverse = np.unique(words, return_inverse=True)
-        word = self.words.find(uniq_words)[word_inverse]
-        out = weight[inverse] + log_p0
-        at = np.flatnonzero((word >= 0) & (found[inverse] >= 0))
+        word = self.words.find(words)
+        out = weight[pair_context] + log_p0
+        at = np.flatnonzero((word[pair_word] >= 0) & (start < stop)[pair_context])
         for i in range(0, len(at), 1 << 18):
             part = at[i : i + (1 << 18)]
-            c = inverse[part]
-            pair = self.successors.find(word[part].astype(np.uint64) + found[c].astype(np.uint64) * np.uint64(self.span), start[c], stop[c])
+            c = pair_context[part]
+            pair = self.successors.find(word[pair_word[part]].astype(np.uint64) + found[c].astype(np.uint64) * np.uint64(self.span), start[c], stop[c])
             hit = pair >= 0
             out[part[hit]] = self.p_values[self.p[pair[hit]]]
-        return out, counts[inverse]
+        return out
+
 
+class _Ids(dict):
+    """Words to numbers in the order they come."""
 
-class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+        self[word] = i = len(self)
+        return i
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
 
 
-_hashes = _Hashes()
 END_HASH, START_HASH = xxhash.xxh3_64_intdigest(END), xxhash.xxh3_64_intdigest(START)
 
 
@@ -230,22 +233,29 @@ def _flushes(batches):
 
 
 def _spelling_cells(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For words joined by spaces: the cell (byte before * 256 + byte) of each byte and each word's end, and where words start."""
-    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
-    starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
-    return data[:-1] * 256 + data[1:], starts
+    """For each byte of the words and each word's end: the cell (hash of the two bytes before, byte); and where words start."""
+    data = np.frombuffer(b"  " + b"  ".join(words) + b" ", np.uint8).astype(np.int64)
+    cells = ((data[:-2] * 40503 + data[1:-1] * 30011) >> 3) % ROWS * 256 + data[2:]
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    inside = np.ones(len(cells), bool)
+    inside[starts[1:] - 1] = False  # the second space between two words
+    return cells[inside], np.cumsum(lengths) - lengths
 
 
 def _counted(batches):
-    """kind 0: word hash and count in training rows; kind 1: byte pair and count, each word once a flush; kind 2: tokens, and
+    """kind 0: word hash and count in training rows; kind 1: spelling cell and count, each word once a flush; kind 2: tokens, and
     all tokens at x = 1, training documents at x = 2."""
     for rows in _flushes(batches):
         train = [w for _, held, words in rows if not held for w in words]
         kinds, xs, ns = [np.full(3, 2)], [np.array([0, 1, 2])], [np.array([len(train) + sum(not r[1] for r in rows), sum(len(r[2]) + 1 for r in rows), sum(not r[1] for r in rows)])]
         if train:
-            h = np.fromiter(map(_hashes.__getitem__, train), np.uint64, len(train))
-            uniq, first, n = np.unique(h, return_index=True, return_counts=True)
-            cells, at = np.unique(_spelling_cells([train[i] for i in first])[0], return_counts=True)
+            ids = _Ids()
+            n = np.bincount(ids.of(train), minlength=1)
+            uniq = ids.hashes()
+            spelled = np.bincount(_spelling_cells(list(ids))[0])
+            cells = np.flatnonzero(spelled)
+            at = spelled[cells]
             kinds += [np.zeros(len(uniq)), np.ones(len(cells))]
             xs += [uniq.view(np.int64), cells]
             ns += [n, at]
@@ -255,21 +265,22 @@ def _counted(batches):
 class Vocabulary:
     """What every task knows: corpus totals, frequent words with counts, the spelling model."""
 
-    def __init__(self, tokens: int, types: int, docs: int, frequent: dict[int, int], cells: dict[int, int]):
+    def __init__(self, tokens: int, types: int, docs: int, once: int, frequent: dict[int, int], cells: dict[int, int]):
         self.tokens, self.types, self.docs = tokens, types, docs
         table = {**frequent, START_HASH: docs, END_HASH: docs}
         self.hashes = np.array(sorted(table), np.uint64)
         self.counts = np.array([table[int(h)] for h in self.hashes], np.int64)
         p = self.counts / max(1, tokens)
         p[self.hashes == np.uint64(START_HASH)] = 0
-        # a tenth of a percent, at least, is left for other words
-        rest = max(1 - p.sum(), 1e-3)
+        # left for other words: the tokens of those that were seen, and of unseen ones as many as words seen once
+        rest = min(0.5, max(1 - p.sum(), 0) + max(once / max(1, tokens), 1e-3))
         self.log_p0 = np.log10(np.maximum(p * (1 - rest) / max(p.sum(), 1e-12), 1e-12))
-        grid = np.full((256, 256), 0.1)
-        for k, v in cells.items():
-            grid[k >> 8, k & 255] += v
-        self.spelling = np.log10(grid / grid.sum(axis=1, keepdims=True)).ravel()
-        self.log_rest = float(np.log10(rest))
+        grid = np.full(ROWS * 256, 0.1)
+        grid[np.fromiter(cells.keys(), np.int64, len(cells))] += np.fromiter(cells.values(), np.int64, len(cells))
+        grid = grid.reshape(ROWS, 256)
+        self.spelling = np.log10(grid / grid.sum(axis=1, keepdims=True)).ravel().astype(np.float32)
+        # half of it evenly, with one share for all unseen words, half by spelling
+        self.rest, self.even = float(rest), 1.0 / max(1, types + 2 - len(table))
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         """Index of a frequent word, else -1."""
@@ -281,28 +292,32 @@ class Vocabulary:
         if not words:
             return np.zeros(0, np.uint8)
         cells, starts = _spelling_cells(words)
-        return np.clip(np.rint((-self.log_rest - np.add.reduceat(self.spelling[cells], starts)) / STEP), 0, 255).astype(np.uint8)
+        p = self.rest / 2 * (self.even + 10.0 ** np.add.reduceat(self.spelling[cells].astype(np.float64), starts))
+        return np.clip(np.rint(-np.log10(np.maximum(p, 1e-25)) / STEP), 0, 255).astype(np.uint8)
 
 
 def learn(texts: DataFrame) -> Vocabulary:
-    """texts: doc_id, held_out, text. What comes to the driver: totals, FREQUENT words and 65,536 byte pairs at most."""
+    """texts: doc_id, held_out, text. What comes to the driver: totals, FREQUENT words and ROWS * 256 spelling cells at most."""
     counts = materialise(texts.mapInArrow(_counted, "kind int, x long, n long").groupBy("kind", "x").agg(F.sum("n").alias("n")), "vocabulary")
     totals = {r["x"]: r["n"] for r in counts.filter("kind = 2").collect()}
     tokens, docs = totals.get(0, 0), totals.get(2, 0)
     words = counts.filter("kind = 0")
     frequent = {r["x"] & ((1 << 64) - 1): r["n"] for r in words.filter(F.col("n") * FREQUENT >= F.lit(tokens)).collect()}
     cells = {r["x"]: r["n"] for r in counts.filter("kind = 1").collect()}
-    found = Vocabulary(tokens, words.count() + (docs > 0), docs, frequent, cells)
+    found = Vocabulary(tokens, words.count() + (docs > 0), docs, words.filter("n = 1").count(), frequent, cells)
     found.all_tokens = totals.get(1, 0)
     return found
 
 
+_compressor, _decompressor = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(struct.pack("<cq", a.dtype.char.encode(), len(a)) + a.tobytes() for a in arrays), 1)
+    return _compressor.compress(b"".join(struct.pack("<cq", a.dtype.char.encode(), len(a)) + a.tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
-    data, at, out = zlib.decompress(blob), 0, []
+    data, at, out = _decompressor.decompress(blob), 0, []
     while at < len(data):
         kind, n = struct.unpack_from("<cq", data, at)
         out.append(np.frombuffer(data, np.dtype(kind.decode()), n, at + 9))
@@ -310,25 +325,32 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _low_high(x: np.ndarray, bits: int) -> list[np.ndarray]:
+    x = x.astype(np.uint64)
+    return [(x & np.uint64((1 << bits) - 1)).astype(np.uint16 if bits == 16 else np.uint32), (x >> np.uint64(bits)).astype(np.uint8)]
+
+
+def _joined(parts, bits: int) -> np.ndarray:
+    return next(parts).astype(np.int64) | next(parts).astype(np.int64) << bits
+
+
 def _requests(vocab, shards: int):
     """Blobs by shard: (document in the flush, context, word) of each token; and one row with the flush's documents."""
 
     def blob(doc, held, context, code_c, word, code_w, p0):
-        """Four groups, as context and word are frequent or not: two bytes for a frequent one, eight for another context, five and
+        """Four groups, as context and word are frequent or not: three bytes for a frequent one, eight for another context, five and
         the spelling probability for another word."""
         parts = []
         for fc in (True, False):
             for fw in (True, False):
                 at = np.flatnonzero(((code_c >= 0) == fc) & ((code_w >= 0) == fw))
-                at = at[np.argsort(doc[at], kind="stable")]
                 d = doc[at]
                 parts.append(np.diff(d, prepend=0).astype(np.uint32))
-                parts.append(code_c[at].astype(np.uint16) if fc else context[at])
+                parts += _low_high(code_c[at], 16) if fc else [context[at]]
                 if fw:
-                    parts.append(code_w[at].astype(np.uint16))
+                    parts += _low_high(code_w[at], 16)
                 else:
-                    low = word[at] & np.uint64(_LOW)
-                    parts += [low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8), p0[at]]
+                    parts += [*_low_high(word[at] & np.uint64(_LOW), 32), p0[at]]
         return _pack(np.packbits(held), np.array([len(held)], np.uint32), *parts)
 
     def run(batches):
@@ -338,24 +360,26 @@ def _requests(vocab, shards: int):
             lengths = np.array([len(r[2]) + 1 for r in rows])
             held = np.array([r[1] for r in rows], bool)
             n = int(lengths.sum())
-            words = [w for r in rows for w in (*r[2], END)]
-            hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
-            context = np.concatenate([[np.uint64(START_HASH)], hashes[:-1]]).astype(np.uint64)
-            context[np.cumsum(lengths)[:-1]] = START_HASH
+            ids = _Ids()
+            token = ids.of([w for r in rows for w in (*r[2], END)])
+            before = np.concatenate([[len(ids)], token[:-1]])
+            before[np.cumsum(lengths)[:-1]] = len(ids)
+            # of each distinct word, the start of a document last
+            of_hash = np.append(ids.hashes(), np.uint64(START_HASH))
+            of_code = vocab.value.codes(of_hash)
+            of_p0 = np.zeros(len(of_hash), np.uint8)
+            other = np.flatnonzero(of_code < 0)
+            distinct = list(ids)
+            of_p0[other] = vocab.value.spelled([distinct[i] for i in other])
+            hashes, context, code_w, code_c, p0 = of_hash[token], of_hash[before], of_code[token], of_code[before], of_p0[token]
             doc = np.repeat(np.arange(len(rows)), lengths)
-            code_w, code_c = vocab.value.codes(hashes), vocab.value.codes(context)
-            p0 = np.zeros(n, np.uint8)
-            other = np.flatnonzero(code_w < 0)
-            _, first, inverse = np.unique(hashes[other], return_index=True, return_inverse=True)
-            p0[other] = vocab.value.spelled([words[other[i]] for i in first])[inverse]
-            del words
             mixed = np.where(code_c >= 0, (context ^ (hashes >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15), context)
             shard = ((mixed >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-            ids = [r[0] for r in rows]
+            doc_ids = [r[0] for r in rows]
             out = [(flush, s, None, blob(doc[i], held, context[i], code_c[i], hashes[i], code_w[i], p0[i])) for s in range(shards) if len(i := order[bounds[s] : bounds[s + 1]])]
-            meta = [(flush, int(flush % shards), ids, _pack(lengths, held.astype(np.uint8)))]
+            meta = [(flush, int(flush % shards), doc_ids, _pack(lengths, held.astype(np.uint8)))]
             cols = list(zip(*out, *meta))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=["flush", "shard", "ids", "data"])
 
@@ -379,54 +403,48 @@ def _scored(vocab):
             for fc in (True, False):
                 for fw in (True, False):
                     doc = np.cumsum(next(parts), dtype=np.int64)
-                    c = next(parts)
-                    contexts.append(v.hashes[c] if fc else c)
+                    contexts.append(v.hashes[_joined(parts, 16)] if fc else next(parts))
                     if fw:
-                        code = next(parts)
+                        code = _joined(parts, 16)
                         words.append(code.astype(np.uint64) | np.uint64(1 << 40))
                         p0s.append(v.log_p0[code])
                     else:
-                        words.append(next(parts).astype(np.uint64) | next(parts).astype(np.uint64) << np.uint64(32))
-                        p0s.append(-next(parts) * STEP)
+                        words.append(_joined(parts, 32).astype(np.uint64))
+                        p0s.append(next(parts) * -STEP)
                     docs.append(doc)
                     which.append(np.full(len(doc), k, np.int32))
                     trains.append(train[doc])
         if blobs:
             which, doc, context, word, p0, train = (np.concatenate(x) for x in (which, docs, contexts, words, p0s, trains))
             docs = contexts = words = p0s = trains = None
-            log_p, counts = _model(v, context, context[train], word[train], p0[train]).query(context, word, p0)
-            real = context != np.uint64(START_HASH)
-            base = np.where(real, np.log10(counts + 1), 0.0)
-            known = (real & (counts > 0)).astype(np.int64)
+            contexts, c = np.unique(context, return_inverse=True)
+            words, w = np.unique(word, return_inverse=True)
+            pairs, first, pair = np.unique(c * len(words) + w, return_index=True, return_inverse=True)
+            pair_c, pair_w = pairs // len(words), pairs % len(words)
+            seen = np.bincount(pair[train], minlength=len(pairs))
+            counts = np.bincount(c[train], minlength=len(contexts))
+            code = v.codes(contexts)
+            counts = np.where(code >= 0, v.counts[np.maximum(code, 0)], counts)
+            in_trie, of_pair = np.flatnonzero(counts > 0), np.flatnonzero(seen)
+            n_here = counts[pair_c[of_pair]]
+            log_p = np.log10((seen[of_pair] + MU * 10.0 ** p0[first[of_pair]]) / (n_here + MU))
+            trie = Trie(contexts[in_trie], counts[in_trie], np.searchsorted(in_trie, pair_c[of_pair]), words[pair_w[of_pair]], log_p, np.log10(MU / (counts[in_trie] + MU)))
+            log_p = trie.query(contexts, words, pair_c, pair_w, p0[first])[pair]
+            real = (contexts != np.uint64(START_HASH))
+            base = np.where(real, np.log10(counts + 1), 0.0)[c]
+            known = (real & (counts > 0)).astype(np.float64)[c]
+            bounds = np.searchsorted(which, np.arange(len(blobs) + 1))
             for k, (flush, shard, _, _) in enumerate(blobs):
-                lo, hi = np.searchsorted(which, [k, k + 1])
-                d = doc[lo:hi]
-                uniq, inv = np.unique(d, return_inverse=True)
-                sums = [np.bincount(inv, x[lo:hi], len(uniq)) for x in (base, log_p, known)]
-                out.append((flush, shard, None, _pack(uniq.astype(np.uint32), sums[0], sums[1].astype(np.float32), sums[2].astype(np.uint32))))
+                at = slice(bounds[k], bounds[k + 1])
+                here = np.flatnonzero(np.bincount(doc[at]))
+                sums = [np.bincount(doc[at], x[at])[here] for x in (base, log_p, known)]
+                out.append((flush, shard, None, _pack(here.astype(np.uint32), sums[0], sums[1].astype(np.float32), sums[2].astype(np.uint32))))
         cols = list(zip(*out)) or [()] * 4
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=["flush", "shard", "ids", "data"])
 
     return run
 
 
-def _model(v: Vocabulary, asked, context, word, p0) -> Trie:
-    """asked: contexts of all queries; frequent ones among them are in the trie with their count, seen in training here or not."""
-    contexts, counts = np.unique(context, return_counts=True)
-    more = np.unique(asked)
-    seen, contexts = contexts, np.union1d(contexts, more[v.codes(more) >= 0])
-    here, counts = counts, np.zeros(len(contexts), np.int64)
-    counts[np.searchsorted(contexts, seen)] = here
-    code = v.codes(contexts)
-    counts = np.where(code >= 0, v.counts[np.maximum(code, 0)], counts).astype(np.int64)
-    at = np.searchsorted(contexts, context)
-    key = (at.astype(np.uint64) << np.uint64(41)) | word
-    pairs, first, n = np.unique(key, return_index=True, return_counts=True)
-    pair_context, pair_word = (pairs >> np.uint64(41)).astype(np.int64), pairs & np.uint64((1 << 41) - 1)
-    log_p = np.log10((n + MU * 10.0 ** p0[first]) / (counts[pair_context] + MU))
-    return Trie(contexts, counts, pair_context, pair_word, log_p, np.log10(MU / (counts + MU)))
-
-
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 

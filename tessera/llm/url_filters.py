@@ -63,33 +63,36 @@ def path_templates(urls: DataFrame) -> DataFrame:
     rejected."""
     segments = F.filter(F.split(F.col("path"), "/"), lambda x: x != "")
     level = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
-    level = materialise(level.withColumn("segments", F.slice(segments, 1, MAX_DEPTH)).withColumns({"template": F.col("host"), "depth": F.size("segments")}), "paths")
-    total = level.agg(F.sum("known"), F.sum("bad")).first()
-    overall = ((total[1] or 0) + 1) / ((total[0] or 0) + 2)
-    # purity of each host, smoothed towards all
+    level = materialise(level.withColumn("segments", F.slice(segments, 1, MAX_DEPTH)).withColumn("t0", F.col("host")), "paths")
     sums = [F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad")]
-    smoothed = lambda above: (F.col("bad") + PRIOR * above) / (F.col("known") + PRIOR)
-    purity = materialise(level.groupBy("template").agg(*sums).withColumn("purity", smoothed(F.lit(overall))), "purity")
     for d in range(MAX_DEPTH):
-        here = level.withColumn("segment", F.get("segments", F.lit(d)))
-        children = materialise(here.filter(F.col("segment").isNotNull()).groupBy("template", "segment").agg(*sums), "branches")
-        parents = children.groupBy("template").agg(F.sum("known").alias("_known"), F.sum("bad").alias("_bad"), F.count("*").alias("_children"))
+        above, segment = F.col(f"t{d}"), F.get("segments", F.lit(d))
+        here = level.withColumns({"_above": above, "_segment": segment})
+        children = here.filter(F.col("_segment").isNotNull()).groupBy("_above", "_segment").agg(*sums)
+        parents = children.groupBy("_above").agg(F.sum("known").alias("_known"), F.sum("bad").alias("_bad"), F.count("*").alias("_children"))
+        # a literal segment has MIN_SUPPORT urls at least, so this side is small beside the paths
         literal = (
             children.filter(F.col("n") >= MIN_SUPPORT)
-            .join(parents, "template")
+            .join(parents, "_above")
             .filter(_tested(F.col("known"), F.col("bad"), F.col("_known"), F.col("_bad")) | (F.col("_children") == 1))
-            .select("template", "segment", F.lit(True).alias("_literal"))
+            .select("_above", "_segment", F.lit(True).alias("_literal"))
         )
-        # a literal segment has MIN_SUPPORT urls at least, so this side is small beside the paths
-        named = here.join(literal, ["template", "segment"], "left")
-        next_one = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("_literal"), F.col("segment")).otherwise(F.lit(WILDCARD))))
-        level = materialise(named.withColumn("above", F.col("template")).withColumn("template", next_one).select(*[c for c in level.columns if c != "above"], "above"), "paths")
-        deeper = level.filter(F.col("template") != F.col("above")).groupBy("template").agg(F.min("above").alias("above"), *sums)
-        deeper = deeper.join(purity.select(F.col("template").alias("above"), F.col("purity").alias("_above")), "above")
-        purity = materialise(purity.unionByName(deeper.withColumn("purity", smoothed(F.col("_above"))).select(*purity.columns)), "purity")
-    weights = level.groupBy("template").agg(F.count("*").alias("_paths"))
-    judged = materialise(purity.join(weights, "template").select("template", F.col("purity"), "_paths"), "judged")
-    out = lookup(level.select("host", "path", "n", "template"), judged, "template", "_paths")
+        name = F.when(F.col("_literal"), F.when(F.col("_segment") == WILDCARD, F.lit("%2A")).otherwise(F.col("_segment"))).otherwise(F.lit(WILDCARD))
+        named = here.join(literal, ["_above", "_segment"], "left")
+        below = F.when(F.col("_segment").isNull(), F.col("_above")).otherwise(F.concat("_above", F.lit("/"), name))
+        level = materialise(named.select(*level.columns, below.alias(f"t{d + 1}")), "paths")
+    # a template's purity, smoothed towards the one above it, from all urls down to the whole template
+    names = [f"t{d}" for d in range(MAX_DEPTH + 1)]
+    groups = level.groupBy(*names).agg(F.count("*").alias("_paths"), *sums)
+    total = level.agg(F.sum("known"), F.sum("bad")).first()
+    judged, purity = groups, F.lit(((total[1] or 0) + 1) / ((total[0] or 0) + 2))
+    for d, t in enumerate(names):
+        of = groups.groupBy(t).agg(F.sum("known").alias(f"_known{d}"), F.sum("bad").alias(f"_bad{d}"))
+        judged = judged.join(of, t)
+        smoothed = (F.col(f"_bad{d}") + PRIOR * purity) / (F.col(f"_known{d}") + PRIOR)
+        purity = F.when(F.col(t) == F.col(f"t{d - 1}"), purity).otherwise(smoothed) if d else smoothed
+    judged = materialise(judged.select(F.col(names[-1]).alias("template"), purity.alias("purity"), "_paths"), "judged")
+    out = lookup(level.select("host", "path", "n", F.col(names[-1]).alias("template")), judged, "template", "_paths")
     return out.withColumn("rejected", F.col("purity") >= REJECT)
 
 
