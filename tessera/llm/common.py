@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +28,53 @@ def strip_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(WS))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words as UTF-8 bytes; bytes.split() knows the same six white space bytes."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split()
+_rng = np.random.RandomState(7)
+#: A random odd number for each byte, and the base of the polynomial with its inverse modulo 2**64.
+_OF_BYTE = _rng.randint(0, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_IS_WS = np.zeros(256, bool)
+_IS_WS[list(WS_BYTES)] = True
+_BLOCK = 1 << 16
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_POWERS, _BACK = _powers(_BASE, _BLOCK), _powers(_INVERSE, _BLOCK)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads each over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _power(table: np.ndarray, base: int, at: np.ndarray) -> np.ndarray:
+    """base ** at modulo 2**64."""
+    if not len(at) or at[-1] <= _BLOCK:
+        return table[at]
+    high = _powers(pow(base, _BLOCK, 1 << 64), int(at[-1]) // _BLOCK)
+    return high[at // _BLOCK] * table[at % _BLOCK]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each word of data (lower-cased already): differences of a running polynomial sum."""
+    b = np.frombuffer(data, np.uint8)
+    word = np.concatenate([[False], ~_IS_WS[b], [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_OF_BYTE[b] * _power(_POWERS, _BASE, np.arange(len(b))), out=sums[1:])
+    return starts, ends, mix((sums[ends] - sums[starts]) * _power(_BACK, _INVERSE, starts) + (ends - starts).astype(np.uint64))
+
+
+def lowered(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER_TABLE)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -31,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER_TABLE, materialise, shuffle_partitions
+from tessera.llm.common import lowered, materialise, shuffle_partitions, word_hashes
 
 MU = 300.0
 FREQUENT = 1 << 20
 #: Contexts of the spelling model: two bytes, hashed to this many rows.
 ROWS = 8192
-TOKENS_PER_FLUSH = 1_000_000
+BYTES_PER_FLUSH = 8 << 20
 TOKENS_PER_SHARD = 4_000_000
 END, START = b"\n", b"\t"  # no word has these bytes
 #: Spelling probabilities travel as bytes: steps of a tenth of log10.
@@ -200,36 +200,31 @@ class Trie:
         return out
 
 
-class _Ids(dict):
-    """Words to numbers in the order they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = i = len(self)
-        return i
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
-
-
 END_HASH, START_HASH = xxhash.xxh3_64_intdigest(END), xxhash.xxh3_64_intdigest(START)
 
 
 def _flushes(batches):
-    """Lists of (doc_id, held_out, words) of about TOKENS_PER_FLUSH tokens."""
-    rows, n = [], 0
+    """doc_ids, held_out, and the texts, lower-cased, of about BYTES_PER_FLUSH bytes."""
+    ids, held, texts, n = [], [], [], 0
     for b in batches:
-        for doc, held, text in zip(*(c.to_pylist() for c in b.columns)):
-            words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split()
-            rows.append((doc, held, words))
-            n += len(words) + 1
-            if n >= TOKENS_PER_FLUSH:
-                yield rows
-                rows, n = [], 0
-    if rows:
-        yield rows
+        for doc, out, text in zip(*(c.to_pylist() for c in b.columns)):
+            ids.append(doc)
+            held.append(out)
+            texts.append(lowered(text))
+            n += len(texts[-1]) + 1
+            if n >= BYTES_PER_FLUSH:
+                yield ids, np.array(held, bool), texts
+                ids, held, texts, n = [], [], [], 0
+    if ids:
+        yield ids, np.array(held, bool), texts
+
+
+def _words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined, start, end and hash of each word, and the words of each text."""
+    data = b" ".join(texts)
+    starts, ends, hashes = word_hashes(data)
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    return data, starts, ends, hashes, np.diff(np.searchsorted(starts, bounds), prepend=0)
 
 
 def _spelling_cells(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -246,19 +241,18 @@ def _spelling_cells(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _counted(batches):
     """kind 0: word hash and count in training rows; kind 1: spelling cell and count, each word once a flush; kind 2: tokens, and
     all tokens at x = 1, training documents at x = 2."""
-    for rows in _flushes(batches):
-        train = [w for _, held, words in rows if not held for w in words]
-        kinds, xs, ns = [np.full(3, 2)], [np.array([0, 1, 2])], [np.array([len(train) + sum(not r[1] for r in rows), sum(len(r[2]) + 1 for r in rows), sum(not r[1] for r in rows)])]
-        if train:
-            ids = _Ids()
-            n = np.bincount(ids.of(train), minlength=1)
-            uniq = ids.hashes()
-            spelled = np.bincount(_spelling_cells(list(ids))[0])
+    for ids, held, texts in _flushes(batches):
+        n_all = len(ids) + int(_words(texts)[4].sum())
+        texts = [t for t, out in zip(texts, held) if not out]
+        data, starts, ends, hashes, n_words = _words(texts) if texts else (b"", *[np.zeros(0, np.int64)] * 4)
+        kinds, xs, ns = [np.full(3, 2)], [np.array([0, 1, 2])], [np.array([int(n_words.sum()) + len(texts), n_all, len(texts)])]
+        if len(hashes):
+            uniq, first, n = np.unique(hashes, return_index=True, return_counts=True)
+            spelled = np.bincount(_spelling_cells([data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])[0])
             cells = np.flatnonzero(spelled)
-            at = spelled[cells]
             kinds += [np.zeros(len(uniq)), np.ones(len(cells))]
             xs += [uniq.view(np.int64), cells]
-            ns += [n, at]
+            ns += [n, spelled[cells]]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds).astype(np.int32)), pa.array(np.concatenate(xs).astype(np.int64)), pa.array(np.concatenate(ns).astype(np.int64))], names=["kind", "x", "n"])
 
 
@@ -355,29 +349,27 @@ def _requests(vocab, shards: int):
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        for seq, rows in enumerate(_flushes(batches)):
+        for seq, (doc_ids, held, texts) in enumerate(_flushes(batches)):
             flush = (part << 24) + seq
-            lengths = np.array([len(r[2]) + 1 for r in rows])
-            held = np.array([r[1] for r in rows], bool)
-            n = int(lengths.sum())
-            ids = _Ids()
-            token = ids.of([w for r in rows for w in (*r[2], END)])
-            before = np.concatenate([[len(ids)], token[:-1]])
-            before[np.cumsum(lengths)[:-1]] = len(ids)
-            # of each distinct word, the start of a document last
-            of_hash = np.append(ids.hashes(), np.uint64(START_HASH))
+            data, starts, ends, hashes, n_words = _words(texts)
+            lengths = n_words + 1
+            # of each distinct word, then of the two that stand for a text's end and start
+            uniq, first, token = np.unique(hashes, return_index=True, return_inverse=True)
+            of_hash = np.concatenate([uniq, np.array([END_HASH, START_HASH], np.uint64)])
             of_code = vocab.value.codes(of_hash)
             of_p0 = np.zeros(len(of_hash), np.uint8)
             other = np.flatnonzero(of_code < 0)
-            distinct = list(ids)
-            of_p0[other] = vocab.value.spelled([distinct[i] for i in other])
+            of_p0[other] = vocab.value.spelled([data[s:e] for s, e in zip(starts[first[other]].tolist(), ends[first[other]].tolist())])
+            token = np.insert(token, np.cumsum(n_words), len(uniq))
+            before = np.concatenate([[len(uniq) + 1], token[:-1]])
+            before[np.cumsum(lengths)[:-1]] = len(uniq) + 1
             hashes, context, code_w, code_c, p0 = of_hash[token], of_hash[before], of_code[token], of_code[before], of_p0[token]
-            doc = np.repeat(np.arange(len(rows)), lengths)
+            doc = np.repeat(np.arange(len(doc_ids)), lengths)
+            del data, texts
             mixed = np.where(code_c >= 0, (context ^ (hashes >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15), context)
             shard = ((mixed >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-            doc_ids = [r[0] for r in rows]
             out = [(flush, s, None, blob(doc[i], held, context[i], code_c[i], hashes[i], code_w[i], p0[i])) for s in range(shards) if len(i := order[bounds[s] : bounds[s + 1]])]
             meta = [(flush, int(flush % shards), doc_ids, _pack(lengths, held.astype(np.uint8)))]
             cols = list(zip(*out, *meta))

@@ -8,9 +8,10 @@ with one difference at most (pigeonhole), and each chunk is indexed under the fo
 allowed error, enumerated). Links are confirmed on full sets.
 
 No bucket is turned into all its pairs. Equal sets are collapsed to one node first. Round 1 pairs each member of a bucket
-with the bucket's first node only. Confirmed links give components, and a bucket whose members are all in one is done. In
-round 2 each member of the other buckets is paired with its nearest member in another component, in round 3 with every member
-in another component within MAX_DISTANCE that is not tried yet: those are all pairs which could still join two components.
+with the bucket's first node only, round 2 with its most central one. Confirmed links give components, and a bucket whose
+members are all in one is done. The members of other buckets, which an index on signatures alone can't keep from meeting (texts
+around one common text or passage), are compared in round 3 by the exact prefix filter: pairs in different components that share
+one of their rarest shingles, at a place and with sizes that allow the threshold.
 
 Defined cases: a text with fewer than five words is one shingle; null and wordless texts have the empty set and are linked with
 nothing; a null doc_id is linked with nothing and stays; rows that repeat a doc_id are one document; an empty table gives an
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, materialise, shuffle_partitions, words_of
+from tessera.llm.common import lookup, lowered, materialise, mix, shuffle_partitions, word_hashes
 
 SHINGLE, PERCENT = 5, 75
 CHUNKS, PER_CHUNK = 18, 4
@@ -35,46 +36,29 @@ _rng = np.random.RandomState(20240501)
 _A = _rng.randint(0, 1 << 62, COMPONENTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.randint(0, 1 << 62, COMPONENTS, dtype=np.int64).astype(np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BLOCK = 16_384
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _WordHashes()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+#: Members that tell a bucket's most central one, and bits of the sketch that tells rare shingles.
+PROBES, SKETCH_BITS = 32, 20
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes."""
-    words = words_of(text)
-    n = len(words)
+    w = word_hashes(lowered(text))[2]
+    n = len(w)
     if not n:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
     k = min(n, SHINGLE)
     h = np.full(n - k + 1, k, np.uint64)
     for i in range(k):
         h = h * _P + w[i : n - k + 1 + i]
-    return np.unique(_mix(h))
+    return np.unique(mix(h))
 
 
 def signature(s: np.ndarray) -> np.ndarray:
     best = np.full(COMPONENTS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), _BLOCK):
         np.minimum(best, (_A[:, None] * s[None, i : i + _BLOCK] + _B[:, None]).min(axis=1), out=best)
-    return (_mix(best) >> np.uint64(48)).astype(np.uint16)
+    return (mix(best) >> np.uint64(48)).astype(np.uint16)
 
 
 def _sets(batches):
@@ -187,58 +171,113 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(every: bool):
-    """Over (key, node, label, n_shingles, signature), sorted by key and n_shingles: pairs of members in different components
-    within MAX_DISTANCE whose set sizes allow the similarity; of each member the nearest one, or every one."""
+def _hubs(batches):
+    """Over (key, node, label, signature), sorted by key: pairs of each member of a bucket with its most central one, if they are
+    in different components and within MAX_DISTANCE. Central: close to most of a few members, evenly chosen."""
 
     def pairs(rows):
-        node = np.array([r[0] for r in rows], np.int64)
-        label = np.array([r[1] for r in rows], np.int64)
-        size = np.array([r[2] for r in rows], np.int64)
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, COMPONENTS)
-        end = np.searchsorted(size, size * 100 // PERCENT, side="right")
-        out, best = [], {}
-        for i in range(len(rows)):
-            j = slice(i + 1, end[i])
-            d = np.count_nonzero(sig[j] != sig[i], axis=1)
-            at = np.flatnonzero((d <= MAX_DISTANCE) & (label[j] != label[i]))
-            for k in at:
-                x, y = i, i + 1 + int(k)
-                if every:
-                    out.append((min(node[x], node[y]), max(node[x], node[y])))
-                else:
-                    for p, q in ((x, y), (y, x)):
-                        if p not in best or d[k] < best[p][0]:
-                            best[p] = (d[k], q)
-        if not every:
-            out = [(min(node[p], node[q]), max(node[p], node[q])) for p, (_, q) in best.items()]
-        return out
+        node, label = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(-1, COMPONENTS)
+        some = sig[np.linspace(0, len(rows) - 1, min(len(rows), PROBES)).astype(int)]
+        close = sum((np.count_nonzero(sig != x, axis=1) <= COMPONENTS * (100 - PERCENT) // 100).astype(int) for x in some)
+        hub = int(np.argmax(close))
+        at = np.flatnonzero((label != label[hub]) & (np.count_nonzero(sig != sig[hub], axis=1) <= MAX_DISTANCE))
+        return {(min(node[hub], node[i]), max(node[hub], node[i])) for i in at}
+
+    yield from _by_key(batches, pairs)
+
+
+def _by_key(batches, pairs):
+    """The pairs of each run of rows with one key, without those that this task has given already."""
+    now, rows = None, []
+    tried: set = set()
+
+    def batch(found):
+        new = found - tried
+        if len(tried) > 1_000_000:
+            tried.clear()
+        tried.update(new)
+        cols = list(zip(*new)) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+    for b in batches:
+        for key, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if key != now:
+                if len(rows) > 1:
+                    yield batch(pairs(rows))
+                now, rows = key, []
+            rows.append(row)
+    if len(rows) > 1:
+        yield batch(pairs(rows))
+
+
+def _cells(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
-    def run(batches):
-        now, rows = None, []
-        tried: set = set()
 
-        def batch(found):
-            new = set(found) - tried
-            tried.update(new)
-            if len(tried) > 1_000_000:
-                tried.clear()
-            cols = list(zip(*new)) or [(), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+def _sketched(batches):
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            counts += np.bincount(_cells(shingles(text)), minlength=len(counts)) if text and len(text) > 100_000 else 0
+            if text and len(text) <= 100_000:
+                np.add.at(counts, _cells(shingles(text)), 1)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
+
 
+def _prefixes(counts):
+    """(token, node, label, size, place) of the rarest shingles of each set: two sets over the threshold share one of these."""
+
+    def run(batches):
+        n_of = counts.value
         for b in batches:
-            for key, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if key != now:
-                    if len(rows) > 1:
-                        yield batch(pairs(rows))
-                    now, rows = key, []
-                rows.append(row)
-        if len(rows) > 1:
-            yield batch(pairs(rows))
+            out = [[], [], [], [], []]
+            for node, label, text in zip(*(c.to_pylist() for c in b.columns)):
+                s = shingles(text)
+                n = len(s)
+                first = s[np.lexsort((s, n_of[_cells(s)]))][: n - -(-PERCENT * n // 100) + 1]
+                for o, x in zip(out, (first.view(np.int64), np.full(len(first), node), np.full(len(first), label), np.full(len(first), n), np.arange(len(first)))):
+                    o.append(x)
+            cols = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["token", "node", "label", "size", "place"])
 
     return run
 
 
+def _sharing(batches):
+    """Over (token, node, label, size, place), sorted by token: pairs in different components that may be similar enough if this is the
+    first shingle they share: sizes allow it, and so does what comes after it."""
+
+    def pairs(rows):
+        node, label, size, place = (np.array(x, np.int64) for x in zip(*rows))
+        names, n = np.unique(label, return_counts=True)
+        if len(names) == 1:
+            return set()
+        out = set()
+        left = size - place - 1
+        # every pair of different components has a member outside the largest one
+        for i in np.flatnonzero(label != names[np.argmax(n)]):
+            both = 100 + PERCENT
+            ok = (label != label[i]) & ((1 + np.minimum(left, left[i])) * both >= PERCENT * (size + size[i]))
+            out.update((min(node[i], node[j]), max(node[i], node[j])) for j in np.flatnonzero(ok))
+        return out
+
+    yield from _by_key(batches, pairs)
+
+
+def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """members: node, label. All pairs of members in different components that may be over the threshold, by shared rare shingles.
+    Rare is what a sketch of fixed size says; any order would give whole results, this one keeps common passages out."""
+    spark = members.sparkSession
+    placed = materialise(members.join(texts, members["node"] == texts["doc_id"]).select("node", "label", "text"), "rest")
+    cells = placed.select("text").mapInArrow(_sketched, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # 2**SKETCH_BITS rows at most
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    prefixes = placed.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts)), "token long, node long, label long, size long, place long")
+    return prefixes.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token").mapInArrow(_sharing, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row a row of docs: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -263,22 +302,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links = materialise(confirm(tried, texts), "links")
     labels = components(links)
     members = stars.filter(F.col("kind") == MEMBER).select("key", F.col("a").alias("node")).distinct()
-    for every in (False, True):
+    for last in (False, True):
         placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
         members = materialise(placed.join(open_keys, "key", "left_semi"), "open-buckets")
         if members.isEmpty():
             break
-        full = members.join(signed, "node").select("key", "node", "label", "n_shingles", "signature")
-        dealt = full.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "n_shingles", "node")
-        found = materialise(dealt.mapInArrow(_across(every), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if last:
+            found = _rest(members.select("node", "label").distinct(), texts)
+        else:
+            full = members.join(signed, "node").select("key", "node", "label", "signature")
+            found = full.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_hubs, "a long, b long").distinct()
+        found = materialise(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         members = members.drop("label")
-        if found.isEmpty():
-            continue
         new = materialise(confirm(found, texts), "links")
-        tried = tried.unionByName(found)
         if not new.isEmpty():
-            links = links.unionByName(new)
+            tried, links = tried.unionByName(found), links.unionByName(new)
             labels = components(links)
 
     placed = materialise(nodes.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("label"), "least", "n"), "placed")
