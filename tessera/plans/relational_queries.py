@@ -70,13 +70,13 @@ def quality_level(t: Tables) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(kw, 8) AS keyword_rrf, round(vec, 8) AS vector_rrf, round(least(1.0, greatest(0.0, l_discount * 5)), 4) AS kg_score, round(least(1.0, l_tax * 10), 4) AS utility_score, round(l_discount, 4) AS rerank_score,
-  round(round(150 * round(kw, 8) + 150 * round(vec, 8) + 0.1::DOUBLE * round(least(1.0, l_discount * 5), 6) + 0.1::DOUBLE * round(least(1.0, l_tax * 10), 6) + 0.5::DOUBLE * round(l_discount, 6), 6) + 0.0000001::DOUBLE, 4) AS composite
+  round(round(150 * round(kw, 8) + 150 * round(vec, 8) + 0.1::DOUBLE * round(least(1.0, l_discount * 5), 6) + 0.1::DOUBLE * round(least(1.0, l_tax * 10), 6) + 0.5::DOUBLE * round(l_discount, 6), 6) + 0.00001::DOUBLE, 3) AS composite
   FROM (SELECT *, 1.0::DOUBLE / (60 + greatest(1, l_linenumber)) AS kw, 1.0::DOUBLE / (60 + greatest(1, coalesce(CASE WHEN l_partkey % 3 > 0 THEN l_partkey % 50 END, 999))) AS vec FROM lineitem)""")
 def score_components(t: Tables) -> DataFrame:
     vec = F.when(F.col("l_partkey") % 3 > 0, F.col("l_partkey") % 50)
     c = S.score_components(F.col("l_linenumber"), vec, F.col("l_discount") * 5, F.col("l_tax") * 10, F.col("l_discount"))
     digits = {"keyword_rrf": 8, "vector_rrf": 8}
-    return t.lineitem.select("l_orderkey", "l_linenumber", *[F.round(x + (1e-7 if k == "composite" else 0), digits.get(k, 4)).alias(k) for k, x in c.items()])  # off the rounding boundary
+    return t.lineitem.select("l_orderkey", "l_linenumber", *[F.round(x + (1e-5 if k == "composite" else 0), digits.get(k, 3 if k == "composite" else 4)).alias(k) for k, x in c.items()])  # off the rounding boundary
 
 
 HEADINGS = [(1, [" A ", "", "B", "C"]), (2, ["", " "]), (3, []), (4, None), (5, ["only"])]

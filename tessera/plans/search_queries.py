@@ -158,9 +158,9 @@ ANSWERS = [
 ]
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0, 'plain', 'specific_factoid', NULL::INT), (2, 0, 'first', 'multi_hop', NULL), (2, 1, 'second', 'specific_factoid', 0), (3, 0, 'same', 'specific_factoid', NULL), (4, 0, 'a', 'specific_factoid', NULL), (4, 1, 'b', 'specific_factoid', NULL)) v(query_id, pos, query, query_type, depends_on)")
+@query("SELECT * FROM (VALUES (1::BIGINT, 0, 'plain', 'specific_factoid', -1), (2, 0, 'first', 'multi_hop', -1), (2, 1, 'second', 'specific_factoid', 0), (3, 0, 'same', 'specific_factoid', -1), (4, 0, 'a', 'specific_factoid', -1), (4, 1, 'b', 'specific_factoid', -1)) v(query_id, pos, query, query_type, depends_on)")
 def sub_query_parse(t: Tables) -> DataFrame:
-    return R.sub_queries(literal_rows(t, ANSWERS, "query_id long, query_text string, answer string"))
+    return R.sub_queries(literal_rows(t, ANSWERS, "query_id long, query_text string, answer string")).fillna(-1, ["depends_on"])
 
 
 def _sql_any(x: str, patterns: list[str]) -> str:
