@@ -62,13 +62,12 @@ class Node:
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.children = tag, attrs, []
 
-    def names(self) -> tuple[set[str], str]:
-        """Words of class and id, and the role."""
+    def names(self) -> tuple[str, str]:
+        """Class and id, and the role."""
         if "=" not in self.attrs:
-            return set(), ""
+            return "", ""
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(self.attrs)}
-        words = set(_SPLIT.split(f"{found.get('class', '')} {found.get('id', '')}".lower())) - {""}
-        return words, found.get("role", "").strip().lower()
+        return f"{found.get('class', '')} {found.get('id', '')}".lower(), found.get("role", "").strip().lower()
 
 
 def parse(page: str) -> Node:
@@ -124,8 +123,8 @@ def _unwanted(node: Node) -> bool:
         return True
     names, role = node.names()
     if node.tag in _KEPT:
-        return node.tag == "article" and bool(names & _COMMENT_NAMES)
-    return role in _DROPPED_ROLES or bool(names & _DROPPED_NAMES)
+        return node.tag == "article" and not _COMMENT_NAMES.isdisjoint(names.split())
+    return role in _DROPPED_ROLES or not _DROPPED_NAMES.isdisjoint(_SPLIT.split(names))
 
 
 def _digests(root: Node) -> list[tuple[Node, bytes, bool]]:

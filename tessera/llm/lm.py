@@ -38,7 +38,7 @@ FREQUENT = 1 << 20
 #: Contexts of the spelling model: two bytes, hashed to this many rows.
 ROWS = 8192
 BYTES_PER_FLUSH = 8 << 20
-TOKENS_PER_SHARD = 4_000_000
+TOKENS_PER_SHARD = 2_000_000
 END, START = b"\n", b"\t"  # no word has these bytes
 #: Spelling probabilities travel as bytes: steps of a tenth of log10.
 STEP = 0.1
@@ -382,7 +382,13 @@ _BLOBS = "flush long, shard int, ids array<long>, data binary"
 
 
 def _scored(vocab):
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches):
+        """All blobs of one shard, in one partition."""
+        tables = [b for b in batches if b.num_rows]
+        if tables:
+            yield from scored(pa.Table.from_batches(tables)).to_batches()
+
+    def scored(table: pa.Table) -> pa.Table:
         v = vocab.value
         rows = list(zip(table["flush"].to_pylist(), table["shard"].to_pylist(), table["ids"].to_pylist(), table["data"].to_pylist()))
         out = [r for r in rows if r[2] is not None]
@@ -468,5 +474,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     shards = max(shuffle_partitions(docs.sparkSession), -(-vocab.all_tokens // TOKENS_PER_SHARD))
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
     asked = texts.mapInArrow(_requests(shared, shards), _BLOBS)
-    scored = asked.groupBy("shard").applyInArrow(_scored(shared), _BLOBS)
+    # the shard's number is the partition's, so that each task has one shard; a hash of it would put several into some
+    scored = asked.repartitionById(shards, "shard").mapInArrow(_scored(shared), _BLOBS)
     return scored.groupBy("flush").applyInArrow(_summed(vocab.tokens, vocab.types, vocab.docs), _RESULT)
