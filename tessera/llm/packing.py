@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, WS
+from tessera.llm.common import WORD, WS, materialise
 
 CAPACITY = 2048
 SHARD_ROWS = 8192
@@ -135,6 +135,7 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD
     """items: doc_id, source, cluster (long), n_tokens. One row a piece: its document's columns, piece, start, length, shard,
     bin (in the shard) and left_over (of the bin)."""
     items = items.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("cluster").cast("long"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    items = materialise(items, "pack-items")  # narrow; texts are read once
     shards = max(1, -(-items.count() // shard_rows))
     # mixes source in, so that a source's rows spread even where ids follow a pattern
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster", "n_tokens"), F.lit(shards)).cast("int"))
