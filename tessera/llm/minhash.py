@@ -38,7 +38,7 @@ _B = _rng.randint(0, 1 << 62, COMPONENTS, dtype=np.int64).astype(np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 16_384
 #: Members that tell a bucket's most central one, and bits of the sketch that tells rare shingles.
-PROBES, SKETCH_BITS = 32, 20
+PROBES, SKETCH_BITS = 32, 17
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -152,7 +152,8 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+    # texts are never broadcast, whatever their size
+    joined = pairs.join(ta.hint("merge"), "a").join(tb.hint("merge"), "b").select("a", "b", "ta", "tb")
     return joined.mapInArrow(_confirmed, "a long, b long").distinct()
 
 
@@ -219,9 +220,7 @@ def _sketched(batches):
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for b in batches:
         for text in b.column(0).to_pylist():
-            counts += np.bincount(_cells(shingles(text)), minlength=len(counts)) if text and len(text) > 100_000 else 0
-            if text and len(text) <= 100_000:
-                np.add.at(counts, _cells(shingles(text)), 1)
+            np.add.at(counts, _cells(shingles(text)), 1)
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
 
@@ -270,8 +269,8 @@ def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
     """members: node, label. All pairs of members in different components that may be over the threshold, by shared rare shingles.
     Rare is what a sketch of fixed size says; any order would give whole results, this one keeps common passages out."""
     spark = members.sparkSession
-    placed = materialise(members.join(texts, members["node"] == texts["doc_id"]).select("node", "label", "text"), "rest")
-    cells = placed.select("text").mapInArrow(_sketched, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # 2**SKETCH_BITS rows at most
+    placed = materialise(members.join(texts.hint("merge"), members["node"] == texts["doc_id"]).select("node", "label", "text"), "rest")
+    cells = placed.select("text").mapInArrow(_sketched, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2**SKETCH_BITS rows at most
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     prefixes = placed.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts)), "token long, node long, label long, size long, place long")
@@ -298,7 +297,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     tried = materialise(stars.filter(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
     involved = tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialise(docs.join(involved, "doc_id"), "texts")
+    texts = materialise(docs.hint("merge").join(involved, "doc_id"), "texts")
     links = materialise(confirm(tried, texts), "links")
     labels = components(links)
     members = stars.filter(F.col("kind") == MEMBER).select("key", F.col("a").alias("node")).distinct()
