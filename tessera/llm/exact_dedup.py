@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WS_BYTES, lookup, materialise
 
 #: A bucket splits while the distinct texts in its key range weigh more than this many bytes.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 2 << 20
 #: The directory never has more than 2**this slots (a fixed bound on what the driver holds and tasks are sent).
 MAX_DEPTH = 16
 #: A scan task flushes its own collapsed texts when they hold this many bytes.
