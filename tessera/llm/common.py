@@ -69,7 +69,14 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edges = np.flatnonzero(word[1:] != word[:-1])
     starts, ends = edges[::2], edges[1::2]
     sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_OF_BYTE[b] * _power(_POWERS, _BASE, np.arange(len(b))), out=sums[1:])
+    power = 1
+    for i in range(0, len(b), _BLOCK):  # by blocks, as each byte takes several words of memory meanwhile
+        part = _OF_BYTE[b[i : i + _BLOCK]]
+        part *= _POWERS[: len(part)]
+        part *= np.uint64(power)
+        part[:1] += sums[i : i + 1]
+        np.cumsum(part, out=sums[i + 1 : i + 1 + len(part)])
+        power = power * pow(_BASE, _BLOCK, 1 << 64) % (1 << 64)
     return starts, ends, mix((sums[ends] - sums[starts]) * _power(_BACK, _INVERSE, starts) + (ends - starts).astype(np.uint64))
 
 

@@ -1,11 +1,17 @@
 """LM scoring with Elias-Fano n-gram tries.
 
 The model is a bigram model with Dirichlet smoothing: p(w | h) = (c(h w) + MU * p0(w)) / (c(h) + MU). p0 is the relative
-frequency for frequent words (a share of 1/FREQUENT or more, so at most FREQUENT of them) and shares the rest among all other
-words, half of it evenly (unseen words together are one more word), half by a byte-trigram spelling model; so what is broadcast has a fixed bound at any size of the corpus.
+frequency of every word that has a training count; a share as large as that of the words seen once is left for words without one:
+half of it evenly (over as many words as were seen once), half by a byte-trigram spelling model.
+
+What is broadcast has a fixed bound at any size of the corpus: words with a share of 1/FREQUENT or more, so at most FREQUENT of
+them, and the spelling model. Counts of other words are exact too, but only where they are needed: a word's own shard, where all
+its tokens as a context meet, counts it there, and the counts of words that follow another such word come to that word's shard by
+a join on the word.
 
 Scan tasks send each (context, word) to the shard of the context: a blob of a few bytes a token. A frequent context is dealt
-by context and word, its count is known from the broadcast table. A shard counts the pairs of its training documents, builds
+by context and word if the word is frequent too, so that both counts are known from the broadcast table, else to the word's own
+shard. A shard counts the pairs of its training documents, builds
 one trie over them and scores all its pairs with it; sums by document go back in blobs. So the corpus is shuffled once, and a
 shard's share is bounded by choosing their number by the tokens.
 
@@ -25,6 +31,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -242,10 +249,10 @@ def _counted(batches):
     """kind 0: word hash and count in training rows; kind 1: spelling cell and count, each word once a flush; kind 2: tokens, and
     all tokens at x = 1, training documents at x = 2."""
     for ids, held, texts in _flushes(batches):
-        n_all = len(ids) + int(_words(texts)[4].sum())
-        texts = [t for t, out in zip(texts, held) if not out]
-        data, starts, ends, hashes, n_words = _words(texts) if texts else (b"", *[np.zeros(0, np.int64)] * 4)
-        kinds, xs, ns = [np.full(3, 2)], [np.array([0, 1, 2])], [np.array([int(n_words.sum()) + len(texts), n_all, len(texts)])]
+        data, starts, ends, hashes, n_words = _words(texts)
+        n_all, train = len(ids) + len(hashes), np.repeat(~held, n_words)
+        starts, ends, hashes = starts[train], ends[train], hashes[train]
+        kinds, xs, ns = [np.full(3, 2)], [np.array([0, 1, 2])], [np.array([len(hashes) + int((~held).sum()), n_all, int((~held).sum())])]
         if len(hashes):
             uniq, first, n = np.unique(hashes, return_index=True, return_counts=True)
             spelled = np.bincount(_spelling_cells([data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])[0])
@@ -266,23 +273,35 @@ class Vocabulary:
         self.counts = np.array([table[int(h)] for h in self.hashes], np.int64)
         p = self.counts / max(1, tokens)
         p[self.hashes == np.uint64(START_HASH)] = 0
-        # left for other words: the tokens of those that were seen, and of unseen ones as many as words seen once
-        rest = min(0.5, max(1 - p.sum(), 0) + max(once / max(1, tokens), 1e-3))
-        self.log_p0 = np.log10(np.maximum(p * (1 - rest) / max(p.sum(), 1e-12), 1e-12))
+        # left for words without a training count: as many tokens as there are words seen once
+        self.rest = min(0.5, max(once / tokens, 1e-3)) if tokens else 0.5
+        self.log_p0 = np.log10(np.maximum(p * (1 - self.rest), 1e-12))
         grid = np.full(ROWS * 256, 0.1)
         grid[np.fromiter(cells.keys(), np.int64, len(cells))] += np.fromiter(cells.values(), np.int64, len(cells))
         grid = grid.reshape(ROWS, 256)
         self.spelling = np.log10(grid / grid.sum(axis=1, keepdims=True)).ravel().astype(np.float32)
-        # half of it evenly, with one share for all unseen words, half by spelling
-        self.rest, self.even = float(rest), 1.0 / max(1, types + 2 - len(table))
+        self.even = 1.0 / max(1, once)
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         """Index of a frequent word, else -1."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
+    def rare(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether codes() is -1; a table of low bits settles most of them."""
+        maybe = np.zeros(1 << 24, bool)
+        maybe[(self.hashes & np.uint64((1 << 24) - 1)).astype(np.int64)] = True
+        out = ~maybe[(hashes & np.uint64((1 << 24) - 1)).astype(np.int64)]
+        at = np.flatnonzero(~out)
+        out[at] = self.codes(hashes[at]) < 0
+        return out
+
+    def counted(self, n: np.ndarray) -> np.ndarray:
+        """log10 p0 of words with these training counts."""
+        return np.log10(n / self.tokens * (1 - self.rest))
+
     def spelled(self, words: list[bytes]) -> np.ndarray:
-        """log10 p0 of other words, in steps."""
+        """log10 p0 of words without a training count, in steps."""
         if not words:
             return np.zeros(0, np.uint8)
         cells, starts = _spelling_cells(words)
@@ -290,8 +309,9 @@ class Vocabulary:
         return np.clip(np.rint(-np.log10(np.maximum(p, 1e-25)) / STEP), 0, 255).astype(np.uint8)
 
 
-def learn(texts: DataFrame) -> Vocabulary:
-    """texts: doc_id, held_out, text. What comes to the driver: totals, FREQUENT words and ROWS * 256 spelling cells at most."""
+def learn(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """texts: doc_id, held_out, text -> the vocabulary, and x (hash), n of all words. What comes to the driver: totals, FREQUENT words
+    and ROWS * 256 spelling cells at most."""
     counts = materialise(texts.mapInArrow(_counted, "kind int, x long, n long").groupBy("kind", "x").agg(F.sum("n").alias("n")), "vocabulary")
     totals = {r["x"]: r["n"] for r in counts.filter("kind = 2").collect()}
     tokens, docs = totals.get(0, 0), totals.get(2, 0)
@@ -300,7 +320,7 @@ def learn(texts: DataFrame) -> Vocabulary:
     cells = {r["x"]: r["n"] for r in counts.filter("kind = 1").collect()}
     found = Vocabulary(tokens, words.count() + (docs > 0), docs, words.filter("n = 1").count(), frequent, cells)
     found.all_tokens = totals.get(1, 0)
-    return found
+    return found, words.select("x", "n")
 
 
 _compressor, _decompressor = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -328,6 +348,44 @@ def _joined(parts, bits: int) -> np.ndarray:
     return next(parts).astype(np.int64) | next(parts).astype(np.int64) << bits
 
 
+def _own_shard(x: np.ndarray, shards: int) -> np.ndarray:
+    """By the high bits: the low ones (_LOW) tell the words of a shard apart."""
+    return ((x >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+
+
+def _tokens(hashes: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct hashes, then those that stand for a text's end and start; first place of each distinct word; and of each token (ends
+    of texts are tokens) the index of its word and of its context."""
+    uniq, first, token = np.unique(hashes, return_index=True, return_inverse=True)
+    token = np.insert(token, np.cumsum(n_words), len(uniq))
+    before = np.concatenate([[len(uniq) + 1], token[:-1]])
+    before[np.cumsum(n_words + 1)[:-1]] = len(uniq) + 1
+    return np.concatenate([uniq, np.array([END_HASH, START_HASH], np.uint64)]), first, token, before
+
+
+def _wanted(vocab, shards: int):
+    """x (hash), shard: words that aren't frequent, and shards where they follow a context that isn't, and not the word's own; each
+    once a flush."""
+
+    def run(batches):
+        for _, _, texts in _flushes(batches):
+            _, _, _, hashes, n_words = _words(texts)
+            rare = vocab.value.rare(hashes)
+            after = rare[1:] & rare[:-1]
+            starts = np.cumsum(n_words)[:-1]
+            after[starts[(starts > 0) & (starts < len(hashes))] - 1] = False  # a text's first word follows its start
+            at = np.flatnonzero(after)
+            word, where = hashes[at + 1], _own_shard(hashes[at], shards)
+            far = _own_shard(word, shards) != where
+            order = np.lexsort((where[far], word[far]))
+            word, where = word[far][order], where[far][order]
+            new = np.ones(len(word), bool)
+            new[1:] = (word[1:] != word[:-1]) | (where[1:] != where[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(word[new].view(np.int64)), pa.array(where[new].astype(np.int32))], names=["x", "shard"])
+
+    return run
+
+
 def _requests(vocab, shards: int):
     """Blobs by shard: (document in the flush, context, word) of each token; and one row with the flush's documents."""
 
@@ -353,21 +411,19 @@ def _requests(vocab, shards: int):
             flush = (part << 24) + seq
             data, starts, ends, hashes, n_words = _words(texts)
             lengths = n_words + 1
-            # of each distinct word, then of the two that stand for a text's end and start
-            uniq, first, token = np.unique(hashes, return_index=True, return_inverse=True)
-            of_hash = np.concatenate([uniq, np.array([END_HASH, START_HASH], np.uint64)])
+            of_hash, first, token, before = _tokens(hashes, n_words)
             of_code = vocab.value.codes(of_hash)
             of_p0 = np.zeros(len(of_hash), np.uint8)
-            other = np.flatnonzero(of_code < 0)
+            doc = np.repeat(np.arange(len(doc_ids)), lengths)
+            trained = np.zeros(len(of_hash), bool)
+            trained[token[~held[doc]]] = True
+            # the shard has the count of a word in training texts, so its spelling isn't asked for
+            other = np.flatnonzero((of_code < 0) & ~trained)
             of_p0[other] = vocab.value.spelled([data[s:e] for s, e in zip(starts[first[other]].tolist(), ends[first[other]].tolist())])
-            token = np.insert(token, np.cumsum(n_words), len(uniq))
-            before = np.concatenate([[len(uniq) + 1], token[:-1]])
-            before[np.cumsum(lengths)[:-1]] = len(uniq) + 1
             hashes, context, code_w, code_c, p0 = of_hash[token], of_hash[before], of_code[token], of_code[before], of_p0[token]
-            doc = np.repeat(np.arange(len(doc_ids)), lengths)
             del data, texts
-            mixed = np.where(code_c >= 0, (context ^ (hashes >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15), context)
-            shard = ((mixed >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+            mixed = np.where(code_c < 0, context, np.where(code_w < 0, hashes, (context ^ (hashes >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)))
+            shard = _own_shard(mixed, shards)
             order = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
             out = [(flush, s, None, blob(doc[i], held, context[i], code_c[i], hashes[i], code_w[i], p0[i])) for s in range(shards) if len(i := order[bounds[s] : bounds[s + 1]])]
@@ -390,6 +446,9 @@ def _scored(vocab):
 
     def scored(table: pa.Table) -> pa.Table:
         v = vocab.value
+        far = table.filter(pc.is_valid(table["x"]))
+        far_word, far_n = far["x"].to_numpy().view(np.uint64) & np.uint64(_LOW), far["n"].to_numpy()
+        table = table.filter(pc.is_null(table["x"]))
         rows = list(zip(table["flush"].to_pylist(), table["shard"].to_pylist(), table["ids"].to_pylist(), table["data"].to_pylist()))
         out = [r for r in rows if r[2] is not None]
         which, docs, contexts, words, p0s, trains = [], [], [], [], [], []
@@ -416,18 +475,27 @@ def _scored(vocab):
             which, doc, context, word, p0, train = (np.concatenate(x) for x in (which, docs, contexts, words, p0s, trains))
             docs = contexts = words = p0s = trains = None
             contexts, c = np.unique(context, return_inverse=True)
-            words, w = np.unique(word, return_inverse=True)
-            pairs, first, pair = np.unique(c * len(words) + w, return_index=True, return_inverse=True)
+            words, w_first, w = np.unique(word, return_index=True, return_inverse=True)
+            p0 = p0[w_first]  # of each word from here on
+            pairs, pair = np.unique(c * len(words) + w, return_inverse=True)
             pair_c, pair_w = pairs // len(words), pairs % len(words)
             seen = np.bincount(pair[train], minlength=len(pairs))
             counts = np.bincount(c[train], minlength=len(contexts))
             code = v.codes(contexts)
             counts = np.where(code >= 0, v.counts[np.maximum(code, 0)], counts)
+            # words of which this is the own shard were counted as contexts
+            own = np.flatnonzero((code < 0) & (counts > 0))
+            known_word, at = np.unique(np.concatenate([contexts[own] & np.uint64(_LOW), far_word]), return_index=True)
+            known_n = np.concatenate([counts[own], far_n])[at]
+            if len(known_word):
+                at = np.minimum(np.searchsorted(known_word, words), len(known_word) - 1)
+                hit = np.flatnonzero(known_word[at] == words)
+                p0[hit] = v.counted(known_n[at[hit]])
             in_trie, of_pair = np.flatnonzero(counts > 0), np.flatnonzero(seen)
             n_here = counts[pair_c[of_pair]]
-            log_p = np.log10((seen[of_pair] + MU * 10.0 ** p0[first[of_pair]]) / (n_here + MU))
+            log_p = np.log10((seen[of_pair] + MU * 10.0 ** p0[pair_w[of_pair]]) / (n_here + MU))
             trie = Trie(contexts[in_trie], counts[in_trie], np.searchsorted(in_trie, pair_c[of_pair]), words[pair_w[of_pair]], log_p, np.log10(MU / (counts[in_trie] + MU)))
-            log_p = trie.query(contexts, words, pair_c, pair_w, p0[first])[pair]
+            log_p = trie.query(contexts, words, pair_c, pair_w, p0[pair_w])[pair]
             real = (contexts != np.uint64(START_HASH))
             base = np.where(real, np.log10(counts + 1), 0.0)[c]
             known = (real & (counts > 0)).astype(np.float64)[c]
@@ -470,10 +538,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """One row a row of docs (doc_id, text), learning from those whose crc32(doc_id as text) mod 7 is not 2."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
     texts = docs.select("doc_id", held.alias("held_out"), "text")
-    vocab = learn(texts)
+    vocab, counts = learn(texts)
     shards = max(shuffle_partitions(docs.sparkSession), -(-vocab.all_tokens // TOKENS_PER_SHARD))
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    asked = texts.mapInArrow(_requests(shared, shards), _BLOBS)
+    asked = texts.mapInArrow(_requests(shared, shards), _BLOBS).withColumns({"x": F.lit(None).cast("long"), "n": F.lit(None).cast("long")})
+    # a word that is wanted has less than a share of 1/FREQUENT, so no key is hot
+    answers = texts.mapInArrow(_wanted(shared, shards), "x long, shard int").join(counts, "x")
+    asked = asked.unionByName(answers, allowMissingColumns=True)
     # the shard's number is the partition's, so that each task has one shard; a hash of it would put several into some
     scored = asked.repartitionById(shards, "shard").mapInArrow(_scored(shared), _BLOBS)
     return scored.groupBy("flush").applyInArrow(_summed(vocab.tokens, vocab.types, vocab.docs), _RESULT)

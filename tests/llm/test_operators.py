@@ -259,6 +259,26 @@ class TestLm:
         rows = {r.doc_id: r for r in lm.score_documents(df).collect()}
         assert all(r.score < 0 for r in rows.values()) and rows[0].score > rows[0].base_score
 
+    def test_all_counts_are_kept(self, spark, monkeypatch):
+        """Scores are those of the exact counts, however few words are broadcast."""
+        import zlib
+
+        rng = np.random.RandomState(5)
+        texts = {i: " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 40) % 300) for i in range(300)}
+        held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+        words = {i: t.split() + ["\n"] for i, t in texts.items()}
+        c = Counter(w for i, ws in words.items() if not held[i] for w in ws)
+        pairs = Counter(p for i, ws in words.items() if not held[i] for p in zip(["\t", *ws], ws))
+        tokens, seen = sum(c.values()), Counter({**c, "\t": sum(not x for x in held.values())})
+        rest = min(0.5, max(sum(n == 1 for n in c.values()) / tokens, 1e-3))
+        score = lambda ws: sum(np.log10((pairs[h, w] + lm.MU * (1 - rest) * c[w] / tokens) / (seen[h] + lm.MU)) for h, w in zip(["\t", *ws], ws))
+        df = docs_of(spark, [(i, t, "a") for i, t in texts.items()]).repartition(3)
+        for frequent in (8, lm.FREQUENT):
+            monkeypatch.setattr(lm, "FREQUENT", frequent)
+            got = [r for r in lm.score_documents(df).collect() if all(c[w] for w in words[r.doc_id])]
+            assert len(got) > 200
+            assert max(abs(r.score - score(words[r.doc_id])) / len(words[r.doc_id]) for r in got) < 0.01
+
     def test_odd(self, odd, empty):
         got = lm.score_documents(odd).collect()
         assert len(got) == len(odd_rows()) and {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1} and all(r.score < 0 for r in got)
