@@ -11,7 +11,7 @@ from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import chunking, evaluation, feedback, retrieval, state
 from tessera.plans.registry import Tables, query
-from tessera.plans.search_queries import literal_rows, sql_values
+from tessera.plans.search_queries import literal_rows, retrieved, sql_values
 from tessera.sources import files
 
 # --- text functions
@@ -328,6 +328,16 @@ def selfrag_filter(t: Tables) -> DataFrame:
     return feedback.relevant(_graded_rows(t), 0.1).select("query_id", "id", "relevance_score", "batch")
 
 
+@query()
+def crag_retrieved(t: Tables) -> DataFrame:
+    return feedback.graded(retrieved(t)).select("query_id", "quality", "action")
+
+
+@query()
+def selfrag_retrieved(t: Tables) -> DataFrame:
+    return feedback.relevant(retrieved(t), 0.1).select("query_id", "id", "relevance_score", "batch")
+
+
 _LISTS = "l AS (SELECT o_custkey % 30 AS q, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey % 30 ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders), m AS (SELECT o_custkey % 30 AS q, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey % 30 ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders WHERE o_custkey % 30 < 28)"
 
 

@@ -204,6 +204,28 @@ def rerank_overlap(t: Tables) -> DataFrame:
     return R.rerank(rows, 3).select("query_id", "id", F.col("rerank_rank").alias("rank"))
 
 
+def benchmark_queries(t: Tables) -> DataFrame:
+    """All benchmark items with their whole texts; query_vec is null where there is no vector of that id."""
+    v = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")).join(v, "query_id", "left")
+
+
+def text_chunks(t: Tables) -> DataFrame:
+    return t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content")).join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
+
+
+def retrieved(t: Tables, k: int = 20) -> DataFrame:
+    """query_id, query_text, id, content, rank: the k first rows of a hybrid search of all benchmark items over all documents."""
+    q = benchmark_queries(t)
+    found = R.hybrid_search(q, text_chunks(t), k).select("query_id", "id", "rank")
+    return found.join(q.select("query_id", "query_text"), "query_id").join(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
+
+
+@query()
+def rerank_retrieved(t: Tables) -> DataFrame:
+    return R.rerank(retrieved(t), 3).select("query_id", "id", F.col("rerank_rank").alias("rank"))
+
+
 @query("SELECT o_orderkey AS id, coalesce(c_name, '') AS parent_content FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0")
 def parent_expansion(t: Tables) -> DataFrame:
     links = t.orders.select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("parent_id"))
