@@ -41,6 +41,15 @@ def specificity(t: Tables) -> DataFrame:
     return graph.degrees(t.part.select(F.col("p_partkey").alias("id")), e).select("id", "degree", F.round("specificity", 8).alias("specificity"))
 
 
+@query("""WITH e AS (SELECT l_suppkey AS s, -1 - l_partkey AS d FROM lineitem), x AS (SELECT id, count(*) AS n FROM (SELECT s AS id FROM e UNION ALL SELECT d FROM e) GROUP BY id)
+SELECT v.id, coalesce(n, 0) AS degree, round(1.0::DOUBLE / greatest(1, coalesce(n, 0)), 8) AS specificity FROM (SELECT s_suppkey AS id FROM supplier UNION ALL SELECT -1 - p_partkey FROM part) v LEFT JOIN x USING (id)""")
+def specificity_all(t: Tables) -> DataFrame:
+    """Of all suppliers and parts (ids below zero), over all edges."""
+    e = t.lineitem.select(F.col("l_suppkey").alias("source_id"), (-1 - F.col("l_partkey")).alias("target_id"))
+    nodes = t.supplier.select(F.col("s_suppkey").alias("id")).unionByName(t.part.select((-1 - F.col("p_partkey")).alias("id")))
+    return graph.degrees(nodes, e).select("id", "degree", F.round("specificity", 8).alias("specificity"))
+
+
 _NODES = "SELECT s_suppkey AS s, 10000000 + s_nationkey AS d FROM supplier UNION ALL SELECT 10000000 + n_nationkey, 20000000 + n_regionkey FROM nation"
 
 
@@ -108,7 +117,7 @@ def collection_bridges(t: Tables) -> DataFrame:
 
 @query()
 def community_detection(t: Tables) -> DataFrame:
-    e = t.lineitem.filter("l_suppkey <= 50 AND l_partkey <= 200").select(F.lit("g").alias("collection"), F.col("l_suppkey").alias("a"), (F.lit(1_000_000) + F.col("l_partkey")).alias("b"), F.col("l_quantity").alias("weight")).groupBy("collection", "a", "b").agg(F.sum("weight").alias("weight"))
+    e = t.lineitem.select(F.lit("g").alias("collection"), F.col("l_suppkey").alias("a"), (-1 - F.col("l_partkey")).alias("b"), F.col("l_quantity").alias("weight")).groupBy("collection", "a", "b").agg(F.sum("weight").alias("weight"))
     nodes = e.select("collection", F.col("a").alias("id")).unionByName(e.select("collection", F.col("b").alias("id"))).distinct()
     return graph.communities(nodes, e)
 

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tessera.plans import graph_queries
 from tessera.plans.catalogue import QUERIES
+from tessera.plans.registry import Tables
 
 
 def items(spark, sf_dir):
@@ -14,3 +16,16 @@ def test_ranked_and_graded_rows_are_retrieved(spark, sf_dir):
     assert {r.query_id for r in ranked} == items(spark, sf_dir) and any((r.id - r.query_id) % 10 for r in ranked)
     assert {r.query_id for r in QUERIES["crag_retrieved"](spark, sf_dir).collect()} == items(spark, sf_dir)
     assert any((r.id - r.query_id) % 40 for r in QUERIES["selfrag_retrieved"](spark, sf_dir).collect())
+
+
+def test_graph_has_all_edges(spark, sf_dir):
+    read = lambda x: spark.read.parquet(f"{sf_dir}/{x}.parquet")
+    n = {r.id: r.degree for r in QUERIES["specificity_all"](spark, sf_dir).collect()}
+    assert len(n) == read("supplier").count() + read("part").count() and sum(n.values()) == 2 * read("lineitem").count()
+    found = QUERIES["community_detection"](spark, sf_dir).groupBy("level").agg(F.countDistinct("id").alias("n")).collect()
+    assert [r.n for r in found] == [sum(x > 0 for x in n.values())] * 3
+    # ids of no test table reach this far
+    part = spark.createDataFrame([(1, 5_000, 1.0), (2, 5_000, 2.0), (60, 7_000, 1.0)], "l_suppkey long, l_partkey long, l_quantity double")
+    tables = Tables(spark, sf_dir)
+    tables.lineitem = part
+    assert {r.id for r in graph_queries.community_detection(tables).collect()} == {1, 2, 60, -5_001, -7_001}
