@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from tessera.plans.pipeline import Corpus, run_queries
 from tessera.plans.registry import Tables, query
+from tessera.plans.search_queries import benchmark_queries, text_chunks
 
 
 def _run(t: Tables) -> dict[str, DataFrame]:
-    chunks = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content")).join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
     utility = t.events.groupBy(F.col("user_id").alias("chunk_id")).agg(F.round(F.avg("value") / 100, 4).alias("utility_ema"))
     links = t.documents.select(F.col("doc_id").alias("chunk_id"), F.expr("doc_id div 10").alias("parent_id"))
     parents = t.documents.filter("doc_id % 10 = 0").select(F.expr("doc_id div 10").alias("id"), F.col("source").alias("content"))
-    q = t.benchmark.filter("item_id < 5").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.slice(F.split("text", " "), 1, 2)).alias("query_text"))
-    v = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    return run_queries(q.join(v, "query_id"), Corpus(chunks, utility, links, parents))
+    return run_queries(benchmark_queries(t), Corpus(text_chunks(t), utility, links, parents))
 
 
 @query()

@@ -31,8 +31,9 @@ def sql_values(rows: list[tuple], names: str) -> str:
 _COS = "round(list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 6)"
 
 
-def _vector_queries(t: Tables, n: int = 10) -> DataFrame:
-    return t.embeddings.filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+def _vector_queries(t: Tables, n: int | None = 10) -> DataFrame:
+    """Vectors of the first n ids, or (n is None) of all ids divisible by 100."""
+    return t.embeddings.filter(F.col("vec_id") < n if n is not None else F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
 @query(f"""SELECT query_id, id, rank FROM (
@@ -49,6 +50,21 @@ def vector_topk_filtered(t: Tables) -> DataFrame:
     return R.vector_search(_vector_queries(t), t.embeddings.filter("label = 3"), 5, id_col="vec_id").select("query_id", "id", "rank")
 
 
+_HUNDREDS = f"""SELECT query_id, id, rank FROM (
+  SELECT q.vec_id AS query_id, c.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS.format(a="q.embedding", b="c.embedding")} DESC, c.vec_id)::INT AS rank
+  FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND {{which}}) WHERE rank <= 5"""
+
+
+@query(_HUNDREDS.format(which="true"))
+def vector_topk_hundreds(t: Tables) -> DataFrame:
+    return R.vector_search(_vector_queries(t, None), t.embeddings, 5, id_col="vec_id").select("query_id", "id", "rank")
+
+
+@query(_HUNDREDS.format(which="c.label = 3"))
+def vector_topk_filtered_hundreds(t: Tables) -> DataFrame:
+    return R.vector_search(_vector_queries(t, None), t.embeddings.filter("label = 3"), 5, id_col="vec_id").select("query_id", "id", "rank")
+
+
 _Q = sql_values(KEYWORDS, "q(query_id, query_text)")
 _BM25 = f"""q AS (SELECT * FROM {_Q}),
 qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query_text), '[\\p{{L}}0-9]+')) AS term FROM q),

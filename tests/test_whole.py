@@ -29,3 +29,14 @@ def test_graph_has_all_edges(spark, sf_dir):
     tables = Tables(spark, sf_dir)
     tables.lineitem = part
     assert {r.id for r in graph_queries.community_detection(tables).collect()} == {1, 2, 60, -5_001, -7_001}
+
+
+def test_pipeline_takes_whole_texts_of_all_items(spark, sf_dir):
+    log = {r.query_id: r.query_text for r in QUERIES["query_log"](spark, sf_dir).collect()}
+    assert log == {r.item_id: r.text[:2000] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+
+
+def test_vector_query_set(spark, sf_dir):
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    for name in ("vector_topk_hundreds", "vector_topk_filtered_hundreds"):
+        assert {r.query_id for r in QUERIES[name](spark, sf_dir).collect()} == {i for i in ids if i % 100 == 0}
