@@ -1,8 +1,9 @@
 """Main text of web pages, with site templates removed.
 
 A page is read into a tree. Subtrees of the outer page (and, within the article, containers that hold no running text of
-their own) are hashed; Spark counts on how many different pages of its host each hash stands, and subtrees that recur on many
-of them are the site's template and are deleted. What is left loses menus, headers, footers, sidebars, notices, adverts, forms,
+their own) are hashed; Spark counts on how many different pages of its host each hash stands, and subtrees that recur on
+MIN_PAGES of them (more, by a Poisson bound, only where so many pages would repeat by chance) are the site's template and are
+deleted: templates are joined to the pages by host and hash, so a host may have any number of them. What is left loses menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments by element, role and class. The text of the article (else of the main element, else of the
 body) is collected by blocks: character references decoded, white space made one space, blocks joined by one space.
 
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import lookup, materialise
 from tessera.llm.url_filters import split_url
 
-#: A subtree is a template if it stands on at least MIN_PAGES different pages of the host and on this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.1
+#: A subtree is a template if it stands on at least MIN_PAGES different pages of its host, however many pages the host has, and on
+#: significantly more than chance repeats explain: CHANCE is the rate at which a page happens to hold any given subtree, Z the
+#: deviations above the expected count.
+MIN_PAGES, CHANCE, Z = 5, 1e-5, 3.0
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
@@ -158,6 +161,10 @@ def _holds_article(node: Node) -> bool:
     return False
 
 
+def _page_hash(page: str | None) -> int:
+    return xxhash.xxh3_64_intdigest((page or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def template_hashes(page: str | None) -> list[bytes]:
     return list({h for node, h, _ in _digests(parse(page or "")) if node.tag not in _DROPPED and not _holds_article(node)})
 
@@ -201,19 +208,25 @@ def _hashed(batches):
         pages, hosts, hashes = [], [], []
         for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             hosts.append(host)
-            pages.append(xxhash.xxh3_64_intdigest((page or "").encode("utf-8", "surrogatepass")) - (1 << 63))
+            pages.append(_page_hash(page))
             hashes.append(template_hashes(page))
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(hashes, pa.list_(pa.binary()))], names=["host", "page", "hashes"])
 
 
-def site_templates(pages: DataFrame) -> DataFrame:
-    """host, n (rows) and templates (hashes; a subtree's share of a host's pages is bounded from below, so their number is bounded
-    by the subtrees of some pages, however many pages the host has)."""
+def page_templates(pages: DataFrame) -> DataFrame:
+    """host, page (hash), n (rows) and templates: those of the page's own subtrees that are templates of its host."""
     hashed = materialise(pages.select("host", "html").mapInArrow(_hashed, "host string, page long, hashes array<binary>"), "subtrees")
-    hosts = hashed.groupBy("host", "page").agg(F.count("*").alias("rows")).groupBy("host").agg(F.count("*").alias("pages"), F.sum("rows").alias("n"))
-    seen = hashed.select("host", "page", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("on")).filter(F.col("on") >= MIN_PAGES)
-    often = seen.join(hosts.select("host", "pages"), "host").filter(F.col("on") >= MIN_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("templates"))
-    return materialise(hosts.join(often, "host", "left").select("host", "n", "templates"), "templates")
+    distinct = materialise(hashed.groupBy("host", "page").agg(F.count("*").alias("n"), F.first("hashes").alias("hashes")), "pages")
+    hosts = materialise(distinct.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
+    held = distinct.select("host", "page", F.explode("hashes").alias("hash"))
+    seen = held.groupBy("host", "hash").agg(F.count("*").alias("on")).filter(F.col("on") >= MIN_PAGES)
+    # hosts are joined to counts of subtrees, of which a hot host may have many
+    known = lookup(seen, hosts.select("host", F.col("pages").alias("of"), F.col("pages").alias("n")), "host", "n")
+    chance = CHANCE * F.col("of")
+    often = materialise(known.filter(F.col("on") > chance + Z * F.sqrt(chance)).select(F.struct("host", "hash").alias("key"), F.col("on").alias("n"), F.lit(True).alias("is_template")), "templates")
+    keyed = held.select("page", "host", F.struct("host", "hash").alias("key"))
+    found = lookup(keyed, often, "key", "n").filter("is_template").groupBy("host", "page").agg(F.collect_list("key.hash").alias("templates"))
+    return distinct.select("host", "page", "n").join(found, ["host", "page"], "left")
 
 
 def _extracted(batches):
@@ -222,8 +235,15 @@ def _extracted(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
+def _with_page(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(_page_hash, b.column(2).to_pylist()), pa.int64())], names=["page_id", "url", "html", "host", "page"])
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row."""
     known = pages.select("page_id", "url", "html", split_url(F.col("url"))[0].alias("host"))
-    found = lookup(known, site_templates(known), "host", "n").select("page_id", "url", "html", "templates")
-    return found.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    paged = known.mapInArrow(_with_page, "page_id long, url string, html string, host string, page long")
+    keyed = paged.select("page_id", "url", "html", F.struct("host", "page").alias("key"))
+    found = materialise(page_templates(known).select(F.struct("host", "page").alias("key"), "n", "templates"), "page-templates")
+    return lookup(keyed, found, "key", "n").select("page_id", "url", "html", "templates").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

@@ -446,6 +446,12 @@ class TestHtml:
         got = {r.page_id: r for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
         assert got[3].text == "A passage that pages share. own 3" and got[103].text == "no article 3" and got[203].text == "same page" and got[300].text == "" and got[3].n_chars == len(got[3].text)
 
+    def test_template_on_a_small_share_of_a_large_host(self, spark):
+        notice = "<div><p>Join us today</p></div>"
+        rows = [(i, f"http://a.com/{i}", f"<body><article><p>own {i}</p>{notice if i < 8 else ''}</article></body>") for i in range(200)]
+        got = {r.page_id: r.text for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {i: f"own {i}" for i in range(200)}
+
     def test_pages(self, spark, sf_dir):
         rows = queries()["op10_html_extraction"](spark, sf_dir).collect()
         pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
