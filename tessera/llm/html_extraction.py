@@ -4,8 +4,8 @@ A page is read into a tree. Subtrees of the outer page (and, within the article,
 their own) are hashed; Spark counts on how many different pages of its host each hash stands, and subtrees that recur on
 MIN_PAGES of them (more, by a Poisson bound, only where so many pages would repeat by chance) are the site's template and are
 deleted: templates are joined to the pages by host and hash, so a host may have any number of them. What is left loses menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments by element, role and class. The text of the article (else of the main element, else of the
-body) is collected by blocks: character references decoded, white space made one space, blocks joined by one space.
+scripts, styles and reader comments by element, role and class. The text of all articles in page order
+(else of the main element, else of the body; also where the former hold only a small share of the page's running text) is collected by blocks: character references decoded, white space made one space, blocks joined by one space.
 
 Equal pages count once, so that copies of a page don't make its article a template. Paragraphs, headings and lists' items of an
 article are never templates: documents do share passages.
@@ -32,6 +32,9 @@ from tessera.llm.url_filters import split_url
 #: deviations above the expected count.
 MIN_PAGES, CHANCE, Z = 5, 1e-5, 3.0
 
+#: Articles (or main elements) with less than this share of the page's running text are teasers, and the next wider kind is taken.
+SMALL_SHARE = 0.3
+
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -189,6 +192,7 @@ def _text_of(node: Node, dropped: set[int]) -> str:
 def main_text(page: str | None, templates: set[bytes] = frozenset()) -> str:
     root = parse(page or "")
     dropped = {id(node) for node, h, _ in _digests(root) if h in templates and not _holds_article(node)} if templates else set()
+    texts = {}
     for kind in ("article", "main", "body", "#root"):
         found, work = [], [root]
         while work:  # the outermost ones that are not part of something unwanted
@@ -199,8 +203,11 @@ def main_text(page: str | None, templates: set[bytes] = frozenset()) -> str:
             if id(x) not in dropped and (x is root or not _unwanted(x)):
                 work += [c for c in x.children[::-1] if isinstance(c, Node)]
         if found:
-            return max((_text_of(x, dropped) for x in found), key=len)
-    return ""
+            texts[kind] = " ".join(t for x in found if (t := _text_of(x, dropped)))
+        if "body" in texts:
+            break
+    whole = texts.get("body", texts.get("#root", ""))
+    return next((t for t in texts.values() if len(t) >= SMALL_SHARE * len(whole)), whole)
 
 
 def _hashed(batches):

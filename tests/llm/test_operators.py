@@ -446,6 +446,17 @@ class TestHtml:
         got = {r.page_id: r for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
         assert got[3].text == "A passage that pages share. own 3" and got[103].text == "no article 3" and got[203].text == "same page" and got[300].text == "" and got[3].n_chars == len(got[3].text)
 
+    @pytest.mark.parametrize(
+        "page,text",
+        [
+            ("<body><article><p>first part</p></article><p>x</p><article><p>the second part</p></article></body>", "first part the second part"),
+            ("<body><div><p>" + "long text " * 20 + "</p></div><article><p>teaser</p></article></body>", "long text " * 20 + "teaser"),
+            ("<body><p>aside</p><main><p>" + "long text " * 20 + "</p><article><p>teaser</p></article></main></body>", "long text " * 20 + "teaser"),
+        ],
+    )
+    def test_no_article_is_lost(self, page, text):
+        assert html_extraction.main_text(page) == text
+
     def test_template_on_a_small_share_of_a_large_host(self, spark):
         notice = "<div><p>Join us today</p></div>"
         rows = [(i, f"http://a.com/{i}", f"<body><article><p>own {i}</p>{notice if i < 8 else ''}</article></body>") for i in range(200)]
