@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_TABLE = bytes.maketrans(_UPPER.encode(), _LOWER.encode())
 #: A key that holds this share of the rows or more counts as hot; there are at most 1000 such keys.
 HOT_SHARE = 1000
+#: Other keys are split where they have more rows than one task takes (narrow rows; rows with whole texts or pages), and never more
+#: than this many keys are listed for it: beyond, a task takes more rows.
+TASK_ROWS, WIDE_ROWS, SPLIT_KEYS = 1_000_000, 20_000, 100_000
 
 
 def ascii_lower(c: Column) -> Column:
@@ -84,44 +88,118 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER_TABLE)
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """names, with underscores before each that is taken (Spark's names ignore case)."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def packed(docs: DataFrame, *apart: str) -> DataFrame:
+    """The columns apart, then all others as one struct, row, so that nothing can clash with them; unpacked() undoes it."""
+    rest = [c for c in docs.columns if c not in apart]
+    row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(rest)]) if rest else F.struct(F.lit(None).cast("int").alias("c0"))
+    return docs.select(*apart, row.alias("row"))
+
+
+def unpacked(columns: list[str], *apart: str) -> list[Column]:
+    """The columns of the table that packed() got, in their order."""
+    rest = {c: i for i, c in enumerate(c for c in columns if c not in apart)}
+    return [F.col(c) if c in apart else F.col(f"row.c{rest[c]}").alias(c) for c in columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set here only where the session has none."""
+    """The folder that the driver and all executors share; set here only where the session has none and runs on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _storage(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+_folders: set[str] = set()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        files, at = _storage(spark, path)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _folders.add(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            files, at = _storage(df.sparkSession, path)
+            files.delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int = TASK_ROWS) -> DataFrame:
     """Left join on one key column against a table with at most one row a key, whose weight column counts
     the left rows of that key.
 
     Keys with a thousandth of all rows or more (so at most 1000 of them, whatever the data) are broadcast; only
-    the rows of other keys are shuffled. The weight column does not come back. right should be materialised.
+    the rows of other keys are shuffled, and of these a key with more rows than a task takes is split: its left rows are dealt over
+    parts, its right row is repeated for each. The weight column does not come back. right should be materialised. Columns of right
+    must not have names of left's; the names used within can't clash with either's.
     """
+    hot, part, parts = fresh([*left.columns, *right.columns], "hot", "part", "parts")
     total = right.agg(F.sum(weight)).first()[0] or 0
     is_hot = F.col(weight) * HOT_SHARE >= F.lit(total)
     values = [c for c in right.columns if c not in (key, weight)]
-    hot = right.filter(is_hot).select(key, *values, F.lit(True).alias("_hot"))
-    tried = left.join(F.broadcast(hot), key, "left")
-    cold = right.filter(~is_hot).select(key, *values)
-    if cold.isEmpty():
-        return tried.drop("_hot")
-    found = tried.filter(F.col("_hot").isNotNull()).drop("_hot")
-    rest = tried.filter(F.col("_hot").isNull()).select(*left.columns).join(cold, key, "left")
-    return found.unionByName(rest.select(*found.columns))
+    known = right.filter(is_hot).select(key, *values, F.lit(True).alias(hot))
+    tried = left.join(F.broadcast(known), key, "left")
+    cold = right.filter(~is_hot)
+    most = cold.agg(F.max(weight)).first()[0]
+    if most is None:
+        return tried.drop(hot)
+    found = tried.filter(F.col(hot).isNotNull()).drop(hot)
+    rest = tried.filter(F.col(hot).isNull()).select(*map(quoted, left.columns))
+    rows = max(rows, total // SPLIT_KEYS)
+    if most <= rows:
+        rest = rest.join(cold.select(key, *values), key, "left")
+    else:
+        n = F.ceil(F.col(weight) / F.lit(rows)).cast("int")
+        large = F.broadcast(cold.filter(F.col(weight) > rows).select(key, n.alias(parts)))  # SPLIT_KEYS at most
+        dealt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col(parts).cast("long")), F.lit(0)).cast("int")
+        rest = rest.join(large, key, "left").withColumn(part, dealt).drop(parts)
+        copies = cold.select(key, *values, F.explode(F.sequence(F.lit(0), n - 1)).alias(part))
+        rest = rest.join(copies, [key, part], "left").drop(part)
+    return found.unionByName(rest.select(*map(quoted, found.columns)))

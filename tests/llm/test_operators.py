@@ -119,6 +119,59 @@ class TestUrls:
         got = {r.page_id: r for r in url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
         assert len(got) == 125 and got[5].template == "site.com/de/*" and got[105].template == "site.com/fr/*" and got[5].purity > 0.9 > 0.1 > got[105].purity
 
+    def test_tree_equals_brute_force(self, spark):
+        """Deep branches, branches that are merged with one another, ids that become wildcards."""
+        rng = np.random.RandomState(4)
+        rows = []
+        for i in range(1500):
+            branch, rate = [("spam", 0.97), ("junk", 0.96), ("news", 0.03), ("x/y/z/w/bad", 0.95), ("x/y/z/w/fine", 0.02), ("mix", 0.5)][rng.randint(6)]
+            label = None if rng.rand() < 0.3 else int(rng.rand() < rate)
+            rows.append((["a.com", "b.com"][rng.randint(2)], f"/{branch}/{i}", label))
+        got = {(r.host, r.path): (r.template, r.purity) for r in url_filters.path_templates(spark.createDataFrame(rows, "host string, path string, label int")).collect()}
+
+        def differs(n, bad, m, bad_m, tests):
+            q = (bad_m + 1) / (m + 2)
+            off = abs(bad - n * q) - 0.5
+            return n > 0 and m > 0 and off > 0 and off * off > (url_filters.Z**2 + 2 * np.log(tests)) * n * q * (1 - q)
+
+        want = {}
+
+        def grow(paths, template, depth, purity):
+            known, bad = sum(x[2] is not None for x in paths), sum(x[2] or 0 for x in paths)
+            purity = (bad + url_filters.PRIOR * purity) / (known + url_filters.PRIOR)
+            more = [x for x in paths if len(x[1].split("/")) - 1 > depth]
+            mixed = 0 < bad < known
+            for x in paths:
+                if x not in more or not mixed:
+                    want[x[0], x[1]] = (template + "/*" if x in more else template, purity)
+            if not mixed or not more:
+                return
+            children = defaultdict(list)
+            for x in more:
+                children[x[1].split("/")[depth + 1]].append(x)
+            counts = {s: (sum(x[2] is not None for x in v), sum(x[2] or 0 for x in v)) for s, v in children.items()}
+            n, b = map(sum, zip(*counts.values()))
+            apart = sorted((s for s, (k, y) in counts.items() if 0 < b < n and differs(k, y, n - k, b - y, len(counts))), key=lambda s: ((counts[s][1] + 1) / (counts[s][0] + 2), s))
+            groups = []
+            for s in apart:
+                if groups and not differs(*counts[s], *counts[groups[-1][-1]], 1):
+                    groups[-1].append(s)
+                else:
+                    groups.append([s])
+            rest = [x for s, v in children.items() if s not in apart for x in v]
+            for g in groups:
+                grow([x for s in g for x in children[s]], f"{template}/{g[0] if len(g) == 1 else '(' + '|'.join(sorted(g)) + ')'}", depth + 1, purity)
+            if rest:
+                grow(rest, f"{template}/*", depth + 1, purity)
+
+        known, bad = sum(x[2] is not None for x in rows), sum(x[2] or 0 for x in rows)
+        for host in ("a.com", "b.com"):
+            grow([x for x in rows if x[0] == host], host, 0, (bad + 1) / (known + 2))
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert all(abs(got[k][1] - v[1]) < 1e-9 for k, v in want.items())
+        names = {v[0] for v in want.values()}
+        assert any("(junk|spam)" in t for t in names) and any(t.endswith("/*/*/bad/*") for t in names)
+
     def test_empty_and_repeated(self, spark):
         df = spark.createDataFrame([(1, "http://a.org/"), (1, "http://a.org/")], "page_id long, url string")
         assert url_filters.judge_urls(df).count() == 2 and url_filters.judge_urls(df.filter("false")).count() == 0
@@ -165,15 +218,34 @@ class TestTokenCounts:
     def test_equals_library(self, spark, documents, odd):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        vocab, unk = token_counts.read_vocab(PIECES)
-        t = Tokenizer(models.Unigram(vocab, unk, byte_fallback=True))
+        vocab, hidden = token_counts.read_vocab(PIECES)
+        # the library matches any piece of its vocabulary, so control pieces get spellings that no text has; byte pieces it needs as they are
+        spelled = [(f"\ufdd0{i}" if i in hidden and not p.startswith("<0x") else p, s) for i, (p, s) in enumerate(vocab)]
+        t = Tokenizer(models.Unigram(spelled, 0, byte_fallback=True))
         t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
-        more = docs_of(spark, [(i, x, "a") for i, x in enumerate(["  a  b ", "日本語 text\n\nfoo▁bar", "😀😀 x", "<0x41> <s> é", "▁a", "\n", "a\tb"])])
+        more = docs_of(spark, [(i, x, "a") for i, x in enumerate(["  a  b ", "日本語 text\n\nfoo▁bar", "😀😀 x", "x<s> </s> <unk> é", "▁a", "\n", "a\tb", "é<" * 30_000])])
         for df in (documents, odd, more):
             rows = df.select("doc_id", "text").collect()
             want = Counter((r.doc_id, len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in rows)
             assert Counter(map(tuple, token_counts.count_tokens(df, PIECES).collect())) == want
 
+    @pytest.mark.parametrize("text", ["x<s>", "a<0x41>b", "<0x41>", "<unk>", "the cat <0x0A><0x0A>"])
+    def test_hidden_pieces_are_text(self, text):
+        """Against a Viterbi search over all substrings."""
+        vocab, hidden = token_counts.read_vocab(PIECES)
+        scores = {p: s for i, (p, s) in enumerate(vocab) if i not in hidden}
+        low, total = min(scores.values()) - 10, 0
+        for w in text.split(" "):
+            w = "▁" + w
+            best = [(0.0, 0)]
+            for end in range(1, len(w) + 1):
+                found = [(best[i][0] + scores[w[i:end]], best[i][1] + 1) for i in range(end) if w[i:end] in scores]
+                if w[end - 1] not in scores:
+                    found.append((best[end - 1][0] + low, best[end - 1][1] + len(w[end - 1].encode())))
+                best.append(max(found, key=lambda x: x[0]))
+            total += best[-1][1]
+        assert token_counts.UnigramCounter(vocab, hidden).count(text) == total
+
     def test_ties_and_unknown_runs(self):
         from tokenizers import Tokenizer, models
 
@@ -217,6 +289,26 @@ class TestNear:
         rows = [(i, passage + " " + " ".join(f"own{i}_{k}" for k in range(40)), "a") for i in range(60)]
         assert minhash.near_groups(docs_of(spark, rows)).filter("kept").count() == 60
 
+    def test_shingles_too_many_share(self, spark, monkeypatch):
+        """Texts over a long common passage, more than a block has, with a few near copies among them."""
+        monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
+        monkeypatch.setattr(minhash, "CHOICE", 8)
+        monkeypatch.setattr(minhash, "PART", 4)
+        passage = [f"p{i}" for i in range(160)]
+        rows = [(i, " ".join(passage + [f"own{i}_{k}" for k in range(45)]), "a") for i in range(60)]
+        rows += [(100 + i, rows[i][1] + f" tail{i}", "a") for i in range(0, 60, 7)]
+        want = near_brute([(i, t) for i, t, _ in rows])
+        assert {r.doc_id: r.component_id for r in minhash.near_groups(docs_of(spark, rows)).collect()} == want
+
+    def test_blocks_find_all_links(self):
+        import pyarrow as pa
+
+        texts = [" ".join(f"w{k}" for k in range(40)) + f" x{i // 2}" for i in range(6)] + [" ".join(f"v{k}" for k in range(30))]
+        schema = pa.schema([("token", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("node", pa.int64()), ("label", pa.int64()), ("text", pa.string())])
+        rows = [{"token": 1, "i": 0, "j": 1, "block": n % 2, "node": n, "label": n, "text": t} for n, t in enumerate(texts)] + [{"token": 2, "i": 0, "j": 0, "block": 0, "node": n, "label": n, "text": texts[n]} for n in (0, 1, 6)]
+        got = {tuple(r.values()) for b in minhash._across([pa.RecordBatch.from_pylist(rows, schema=schema)]) for r in b.to_pylist()}
+        assert got == {(a, b) for a in range(6) for b in range(a + 1, 6) if a % 2 != b % 2}
+
     def test_components_of_a_chain(self, spark):
         edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
         got = {r.node: r.label for r in minhash.components(edges).collect()}
@@ -254,7 +346,7 @@ class TestLm:
         out = [r for r in got if r.held_out]
         assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
-    def test_model_is_smoothed_bigrams(self, spark):
+    def test_model_is_smoothed(self, spark):
         df = docs_of(spark, [(i, "a b a b c", "a") for i in range(4)] + [(4, "a b z", "a")])
         rows = {r.doc_id: r for r in lm.score_documents(df).collect()}
         assert all(r.score < 0 for r in rows.values()) and rows[0].score > rows[0].base_score
@@ -271,7 +363,12 @@ class TestLm:
         pairs = Counter(p for i, ws in words.items() if not held[i] for p in zip(["\t", *ws], ws))
         tokens, seen = sum(c.values()), Counter({**c, "\t": sum(not x for x in held.values())})
         rest = min(0.5, max(sum(n == 1 for n in c.values()) / tokens, 1e-3))
-        score = lambda ws: sum(np.log10((pairs[h, w] + lm.MU * (1 - rest) * c[w] / tokens) / (seen[h] + lm.MU)) for h, w in zip(["\t", *ws], ws))
+        triples = Counter(t for i, ws in words.items() if not held[i] for t in zip(["\t", "\t", *ws], ["\t", *ws], ws))
+        two = lambda h, w: (pairs[h, w] + lm.MU * (1 - rest) * c[w] / tokens) / (seen[h] + lm.MU)
+        three = lambda u, v, w: two(v, w) if v == "\t" else (triples[u, v, w] + lm.MU3 * two(v, w)) / (pairs[u, v] + lm.MU3)
+        score = lambda ws: sum(np.log10(three(*t)) for t in zip(["\t", "\t", *ws], ["\t", *ws], ws))
+        whole = sum(three("w1", "w2", w) for w in c)
+        assert whole == pytest.approx(1 - rest * lm.MU / (seen["w2"] + lm.MU) * lm.MU3 / (pairs["w1", "w2"] + lm.MU3), rel=1e-6)
         df = docs_of(spark, [(i, t, "a") for i, t in texts.items()]).repartition(3)
         for frequent in (8, lm.FREQUENT):
             monkeypatch.setattr(lm, "FREQUENT", frequent)
@@ -285,6 +382,44 @@ class TestLm:
         assert lm.score_documents(empty).count() == 0
 
 
+#: Names that the operators use within, and that result columns have.
+CLASHING = [
+    "host", "row", "n", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_kept", "_words", "_lines", "_hot", "hot", "part", "parts", "_doc", "_keep_bitmap", "keep_bitmap", "n_lines",
+    "_n_lines", "n_dropped", "text_key", "_text_key", "positions", "hash", "key", "node", "label", "component_id", "set_id", "signature", "a.b", "c0", "at", "digest", "keep_id", "shard", "bin", "piece", "cluster", "held_out", "x",
+]
+
+
+def test_clashing_names(spark, odd):
+    """Extra columns with the names used within change nothing, and pass through the stages."""
+    import corpus_pipeline as p
+
+    plain = odd.filter("doc_id is not null AND doc_id < 25")
+    wide = plain.select("*", *[F.lit(-7).alias(c) for c in CLASHING])
+    rows = lambda df: Counter(map(str, df.collect()))
+    for f in (
+        lambda d: exact_dedup.exact_groups(d), lambda d: minhash.near_groups(d), lambda d: lm.score_documents(d), lambda d: quality_rules.judge(d), lambda d: bpe.encode_digests(d, BPE), lambda d: token_counts.count_tokens(d, PIECES),
+        lambda d: packing.pack_documents(d).drop("shard", "bin", "left_over"), lambda d: p.packing_stage(spark, d, "").drop("shard", "bin", "left_over"),
+    ):
+        assert rows(f(wide)) == rows(f(plain))
+    for stage in (p.quality_stage, p.line_stage, p.near_dedup_stage):
+        got = stage(spark, wide, "")
+        assert got.columns == wide.columns
+        assert rows(got.select(*plain.columns)) == rows(stage(spark, plain, "")) and got.filter("n_words <> -7 OR `a.b` <> -7 OR n_lines <> -7").count() == 0
+    lined = line_dedup.drop_lines(wide)
+    assert len({c.lower() for c in lined.columns}) == len(lined.columns) == len(wide.columns) + 2
+    pages = spark.createDataFrame([(i, f"http://h.com/{i}", f"<p>{i}") for i in range(6)], "page_id long, url string, html string")
+    wider = pages.select("*", *[F.lit(-7).alias(c) for c in [*CLASHING, "page", "path", "rule", "verdict", "template", "purity", "segments", "open", "templates", "text"]])
+    for f in (html_extraction.extract_pages, url_filters.judge_urls):
+        assert rows(f(wider)) == rows(f(pages))
+
+
+def test_lookup_splits_large_keys(spark):
+    left = spark.createDataFrame([(i, f"k{i % 1500}" if i % 3 else f"k{i % 40}") for i in range(9000)], "id long, k string")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m"))
+    want = {r.k: r.m for r in right.collect()}
+    assert {(r.id, r.k, r.m) for r in lookup(left, right, "k", "n", rows=3).collect()} == {(r.id, r.k, want[r.k]) for r in left.collect()}
+
+
 class TestExact:
     def brute(self, rows):
         groups = defaultdict(list)
@@ -293,7 +428,7 @@ class TestExact:
             groups[norm(t)].append((-len(t or ""), i is None, i or 0, i))
         return Counter((i, min(groups[norm(t)])[3], len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows)
 
-    @pytest.mark.parametrize("capacity", [exact_dedup.BUCKET_BYTES, 500])
+    @pytest.mark.parametrize("capacity", [None, 500])
     def test_equals_brute_force(self, odd, documents, capacity):
         for df in (odd, documents):
             got = exact_dedup.exact_groups(df, capacity).collect()
@@ -301,16 +436,31 @@ class TestExact:
             assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
 
     def test_directory_doubles(self):
-        slots = exact_dedup.directory({0: 100, 1: 1, 200: 5}, capacity=50, max_depth=8)
-        assert len(slots) == 256 and slots[0] != slots[1] and slots[-1] == slots[128] and sorted(set(slots)) == list(range(slots.max() + 1))
-        assert exact_dedup.directory({}, 50, 8).tolist() == [0]
+        d = exact_dedup.Directory()
+        assert d.split({0: 100, 1: 1, 200: 5}, 8, capacity=50) == [0] and d.depth == 8
+        assert (0, 8) in d.leaves and (1, 8) in d.leaves and (1, 1) in d.leaves
+        # a finer histogram inside what is still overfull
+        assert d.split({0: 40, 3: 60}, 10, capacity=50, known=8) == [3] and {(0, 9), (2, 10), (3, 10)} <= d.leaves and (0, 8) not in d.leaves
+        starts = d.starts()
+        assert starts[0] == 0 and len(set(starts.tolist())) == len(d.leaves)
+        assert sum(2.0**-depth for _, depth in d.leaves) == 1
+        empty = exact_dedup.Directory()
+        assert empty.split({}, 16, 50) == [] and empty.starts().tolist() == [0]
+
+    def test_directory_goes_below_the_first_histogram(self, spark):
+        low = 1 << 20  # keys that differ in their last bits only
+        entries = spark.createDataFrame([(low + i, 100) for i in range(8)], "key long, n_bytes long")
+        starts = exact_dedup.build_directory(entries, 450)
+        at = np.searchsorted(starts, np.array([low + i for i in range(8)], np.int64).view(np.uint64) ^ np.uint64(1 << 63), side="right")
+        assert max(Counter(at.tolist()).values()) == 2
 
     def test_collisions_are_told_apart(self):
         import pyarrow as pa
 
-        b = pa.RecordBatch.from_arrays([pa.array([0] * 3, pa.int32()), pa.array([5] * 3), pa.array([b"x", b"y", b"x"], pa.binary()), pa.array([1, 1, 3]), pa.array([9, 8, 7]), pa.array([1, 1, 2])], names=["bucket", "key", "norm", "n_cp", "best", "n"])
+        b = pa.RecordBatch.from_pylist([{"key": 5, "norm": n, "n_cp": c, "best": d, "members": [d]} for n, c, d in ((b"x", 1, 9), (b"y", 1, 8), (b"x", 3, 7))], schema=pa.schema([("key", pa.int64()), ("norm", pa.binary()), ("n_cp", pa.int64()), ("best", pa.int64()), ("members", pa.list_(pa.int64()))]))
         got = [r for out in exact_dedup._own([b]) for r in out.to_pylist()]
-        assert sorted((r["keep_id"], r["group_size"]) for r in got) == [(7, 3), (8, 1)]
+        assert sorted((r["keep_id"], r["n"], r["place"]) for r in got if r["kind"] == exact_dedup.HEAD) == [(7, 2, 0), (8, 1, 1)]
+        assert [(r["members"], r["place"]) for r in got if r["kind"] == exact_dedup.PLACE] == [([9], 0), ([8], 1), ([7], 0)]
 
     def test_empty(self, empty):
         assert exact_dedup.exact_groups(empty).count() == 0
@@ -342,6 +492,22 @@ class TestQuality:
         assert not got[0] and got[1001] and not got[1000] and got[2000] and got[2001]
         assert {r.doc_id for r in quality_rules.keep_good(df).collect()} == {i for i, k in got.items() if k}
 
+    def test_each_rule_is_summed_by_host(self, spark):
+        """A host whose documents pass the base rules but nearly all fail another one is rejected; brute force on the rates."""
+        good = " ".join(f"w{i}" for i in range(30))
+        signs = " ".join(f"a{i} #|" for i in range(15))
+        rows = [(i, signs if i % 40 else good, "signs") for i in range(160)] + [(1000 + i, signs if i % 5 == 0 else good, "some") for i in range(160)] + [(2000 + i, good, f"h{i % 7}") for i in range(140)]
+        df = docs_of(spark, rows)
+        light = quality_rules.rule_columns(df.select("doc_id", "source", "text"))
+        got = {r["source"]: r for r in quality_rules.host_verdicts(light).collect()}
+        n, failed = Counter(s for _, _, s in rows), Counter(s for _, t, s in rows if t == signs)
+        mean, rates = sum(failed.values()) / len(rows), [failed[s] / n[s] for s in n]
+        strength = min(quality_rules.PRIOR_MAX, max(quality_rules.PRIOR_MIN, mean * (1 - mean) / np.var(rates) - 1))
+        for s in n:
+            assert got[s]["rate_symbols"] == pytest.approx((failed[s] + mean * strength) / (n[s] + strength)) and got[s]["failed_symbols"] == failed[s]
+        kept = {r.doc_id: r.kept for r in quality_rules.judge(df).collect()}
+        assert not any(kept[i] for i in range(160)) and all(kept[i] for i in kept if i >= 1000)
+
     def test_odd(self, odd, empty):
         assert quality_rules.judge(odd).count() == len(odd_rows()) and quality_rules.judge(empty).count() == 0 and quality_rules.keep_good(empty).count() == 0
 
@@ -419,6 +585,14 @@ class TestBpe:
             assert got == want
         assert bpe.encode_digests(empty, BPE).count() == 0
 
+    def test_unsupported_files_are_refused(self, tmp_path):
+        with open(BPE, encoding="utf-8") as f:
+            spec = json.load(f)
+        for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"model": {**spec["model"], "ignore_merges": True}}, {"decoder": None}):
+            (tmp_path / "t.json").write_text(json.dumps(spec | change))
+            with pytest.raises(ValueError, match="not supported"):
+                bpe.BytePairs(str(tmp_path / "t.json"))
+
     def test_adjoin_is_merging(self):
         m = bpe.model(BPE)
         rng = np.random.RandomState(5)
@@ -457,6 +631,45 @@ class TestHtml:
     def test_no_article_is_lost(self, page, text):
         assert html_extraction.main_text(page) == text
 
+    def test_templates_without_telling_names(self, spark):
+        """Menus, notices and feet in plain div elements go by their counts alone; a page on a host of few pages keeps them."""
+        menu = "<div><a href='/'>Home</a> <a href='/news'>News</a></div><div><p>We use small files to count visits.</p></div>"
+        page = lambda i: f"<html><body>{menu}<div><h1>Title {i}</h1><p>Own words of page {i} and no other.</p></div><div>Made with care.</div></body></html>"
+        rows = [(i, f"http://big.com/{i}", page(i)) for i in range(30)] + [(100 + i, f"http://tiny.com/{i}", page(i)) for i in range(3)]
+        got = {r.page_id: r for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        lost = "Home News", "We use small files to count visits.", "Made with care."
+        for i in range(30):
+            assert got[i].text == f"Title {i} Own words of page {i} and no other." and (got[i].template_chars, got[i].rule_chars) == (sum(map(len, lost)), 0)
+        assert got[100].text == f"{lost[0]} {lost[1]} Title 0 Own words of page 0 and no other. {lost[2]}" and got[100].template_chars == 0
+
+    def test_templates_equal_brute_force(self, spark):
+        """Blocks of a pool on the pages of two hosts: those on MIN_PAGES different pages of a host go there, the others stay."""
+        rng = np.random.RandomState(6)
+        rows, blocks, on = [], {}, defaultdict(set)
+        for i in range(90):
+            own = i if i % 10 else 7  # some pages are the same
+            host, some = f"h{own % 2}.com", np.flatnonzero(np.random.RandomState(own).rand(25) < np.linspace(0.02, 0.4, 25))
+            blocks[i] = host, own, some.tolist()
+            page = f"<body><p>own {own}</p>" + "".join(f"<div class='x'><b>block</b> {k}</div>" for k in some) + "</body>"
+            for k in some:
+                on[host, k].add(page)
+            rows.append((i, f"http://{host}/{rng.randint(9)}", page))
+        got = {r.page_id: r for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+        gone = {x for x, pages in on.items() if len(pages) >= html_extraction.MIN_PAGES}
+        assert 0 < len(gone) < len(on)
+        for i, (host, own, some) in blocks.items():
+            left = [k for k in some if (host, k) not in gone]
+            assert got[i].text == " ".join([f"own {own}", *(f"block {k}" for k in left)])
+            assert got[i].template_chars == sum(len(f"block {k}") for k in some if k not in left) and got[i].rule_chars == 0
+
+    @pytest.mark.parametrize("page", ["<b>" * 100_000 + "</i>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<div>" * 100_000 + "x", "<b>" * 100_000 + "<p>x</p>" * 50_000, "<a " * 300_000, "<a ='" * 200_000, f"<a class='{'y ' * 300_000}' {'z' * 400_000}>x"])
+    def test_work_is_linear(self, page):
+        import time
+
+        began = time.process_time()
+        html_extraction.main_text(page, {b"none"})
+        assert time.process_time() - began < 10
+
     def test_template_on_a_small_share_of_a_large_host(self, spark):
         notice = "<div><p>Join us today</p></div>"
         rows = [(i, f"http://a.com/{i}", f"<body><article><p>own {i}</p>{notice if i < 8 else ''}</article></body>") for i in range(200)]
