@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, exact_dedup, html_extraction, line_dedup, lm, minhash, packing, quality_rules, token_counts, url_filters
 
 #: Vocabulary files of public tokenizers: a parameter, the same folder on every executor.
-TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS") or (os.path.dirname(found.origin) if (found := find_spec("public_tokenizers")) and found.origin else "/opt/tokenizers")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -99,10 +100,10 @@ base AS (SELECT d.doc_id, source, len(words)::BIGINT AS n_words, length(array_to
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cover USING (doc_id)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
-hosts AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS failed FROM judged WHERE source IS NOT NULL GROUP BY source),
-m AS (SELECT sum(failed) / sum(n) AS mean, var_pop(failed / n) AS var FROM hosts),
-prior AS (SELECT mean, CASE WHEN coalesce(var, 0) = 0 THEN {quality_rules.PRIOR_MAX} ELSE least({quality_rules.PRIOR_MAX}, greatest({quality_rules.PRIOR_MIN}, mean * (1 - mean) / var - 1)) END AS strength FROM m),
-verdict AS (SELECT source, (failed + mean * strength) / (n + strength) < {quality_rules.REJECT_RATE} AS host_kept FROM hosts, prior)
+hosts AS (SELECT source, count(*) AS n, unnest([{", ".join(f"sum(({r})::INT)" for r in quality_rules.RULES.values())}]) AS failed, unnest(range({len(quality_rules.RULES)})) AS rule FROM judged WHERE source IS NOT NULL GROUP BY source),
+m AS (SELECT rule, sum(failed) / sum(n) AS mean, var_pop(failed / n) AS var FROM hosts GROUP BY rule),
+prior AS (SELECT rule, mean, CASE WHEN coalesce(var, 0) = 0 THEN {quality_rules.PRIOR_MAX} ELSE least({quality_rules.PRIOR_MAX}, greatest({quality_rules.PRIOR_MIN}, mean * (1 - mean) / var - 1)) END AS strength FROM m),
+verdict AS (SELECT source, bool_and((failed + mean * strength) / (n + strength) < {quality_rules.REJECT_RATE}) AS host_kept FROM hosts JOIN prior USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_kept, TRUE) AS kept
 FROM judged LEFT JOIN verdict USING (source)"""
 
