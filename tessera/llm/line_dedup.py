@@ -6,12 +6,13 @@ found in at least MIN_DOCS documents keeps its lines only in the largest doc_id
 Rows (hash, doc_id, positions) are range-partitioned by hash and falling doc_id, so the rows of a very common line spread over
 as many partitions as they fill, and one (hash, doc_id) never straddles two. A partition is then read as a stream: of each
 hash the first document is the one that stays, and later ones are dropped once three have been seen. Only the runs at the two
-ends of a partition can go on in its neighbours; their totals (two hashes a partition at most) are joined back. What comes out
-is a compressed bitmap of kept lines for each document.
+ends of a partition can go on in its neighbours, and a hash whose undecided rows (of one doc_id that repeats) exceed HELD is left
+open too; their totals are joined back. What comes out is a compressed bitmap of kept lines for each document.
 
 Defined cases: null or empty text is one empty line; rows with a null doc_id keep all lines and count as no document; rows
-that repeat a doc_id count as one document, each with its own bitmap; an empty table gives an empty table; columns other than
-doc_id and text pass through.
+that repeat a doc_id count as one document, each with its own bitmap; a very long text is read whole in one task, its rows are
+one a distinct line; an empty table gives an empty table; columns other than doc_id and text pass through, whatever their names
+(n_lines and n_dropped get an underscore where the table has these already).
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER_TABLE, WS_BYTES, materialise, shuffle_partitions
+from tessera.llm.common import LOWER_TABLE, WS_BYTES, fresh, lookup, materialise, packed, release, shuffle_partitions, unpacked
 
 MIN_CHARS, MIN_DOCS = 20, 3
+#: Undecided rows of one hash that a task holds.
+HELD = 1000
 _ROWS = "hash binary, doc_id long, text_key long, positions array<int>"
 
 
@@ -56,10 +59,10 @@ DROP, OPEN, TOTAL = 0, 1, 2
 
 
 def _stream(batches):
-    """Rows in order of hash and falling doc_id -> three kinds of rows: DROP, a row that goes; OPEN, a row of the partition's
-    first or last hash that other partitions must help to decide; TOTAL, how many documents such a hash has here (n) and the
-    largest of them. Holds the rows of two documents of the current hash at most."""
-    first, now, n, last_doc, keeper = None, None, 0, None, None
+    """Rows in order of hash and falling doc_id -> three kinds of rows: DROP, a row that goes; OPEN, a row of a hash that is decided
+    by its totals (the partition's first and last hash, and hashes with too many undecided rows); TOTAL, how many documents such a
+    hash has here (n), how many OPEN rows (text_key) and the largest of the documents. Holds HELD rows at most."""
+    first, now, n, n_open, last_doc, keeper = None, None, 0, 0, None, None
     held: list[tuple] = []  # rows of the current hash that go if a third document comes
     out: list[tuple] = []
 
@@ -73,15 +76,19 @@ def _stream(batches):
             if h != now:
                 if now is None:
                     first = h
-                elif now == first:
-                    out.append((now, keeper, None, None, TOTAL, n))
-                now, n, last_doc, keeper, held = h, 0, None, doc, []
+                elif n_open:
+                    out.append((now, keeper, n_open, None, TOTAL, n))
+                now, n, n_open, last_doc, keeper, held = h, 0, 0, None, doc, []
             if doc != last_doc:
                 n, last_doc = n + 1, doc
-            if h == first:
+            if h == first or n_open:
                 out.append((h, doc, key, at, OPEN, None))
+                n_open += 1
             elif n < MIN_DOCS:
                 held.append((h, doc, key, at))
+                if len(held) > HELD:
+                    out += [(*x, OPEN, None) for x in held]
+                    n_open, held = len(held), []
             else:
                 out += [(*x, DROP, None) for x in held if x[1] != keeper]
                 held = []
@@ -90,9 +97,9 @@ def _stream(batches):
             yield batch(out)
             out = []
     if now is not None:
-        if now != first:
-            out += [(*x, OPEN, None) for x in held]
-        out.append((now, keeper, None, None, TOTAL, n))
+        out += [(*x, OPEN, None) for x in held]
+        # rows that were dropped here count for the neighbours' totals too
+        out.append((now, keeper, n_open + len(held), None, TOTAL, n))
     yield batch(out)
 
 
@@ -103,8 +110,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     order = [F.col("hash"), F.col("doc_id").desc()]
     dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     seen = materialise(dealt.mapInArrow(_stream, _ROWS + ", kind int, n long"), "line-drops")
-    totals = seen.filter(F.col("kind") == TOTAL).groupBy("hash").agg(F.sum("n").alias("_docs"), F.max("doc_id").alias("_largest"))
-    decided = seen.filter(F.col("kind") == OPEN).join(F.broadcast(totals), "hash").filter((F.col("_docs") >= MIN_DOCS) & (F.col("doc_id") < F.col("_largest")))
+    release(rows)
+    totals = seen.filter(F.col("kind") == TOTAL).groupBy("hash").agg(F.sum("n").alias("n_docs"), F.max("doc_id").alias("largest"), F.sum("text_key").alias("n_open"))
+    opened = seen.filter(F.col("kind") == OPEN).select("hash", "doc_id", "text_key", "positions")
+    decided = lookup(opened, materialise(totals, "line-totals"), "hash", "n_open").filter((F.col("n_docs") >= MIN_DOCS) & (F.col("doc_id") < F.col("largest")))
     cols = ["doc_id", "text_key", "positions"]
     return seen.filter(F.col("kind") == DROP).select(*cols).unionByName(decided.select(*cols))
 
@@ -124,7 +133,8 @@ def _bitmaps(batches):
 def line_keep_bitmaps(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_lines, n_dropped and keep_bitmap (zlib of packed bits, first line first) of each document that
     loses a line; the others keep all. Texts don't move."""
-    per_doc = dropped_lines(docs).groupBy("doc_id", "text_key").agg(F.collect_list("positions").alias("parts"))
+    # a set, as rows that repeat have the same positions
+    per_doc = dropped_lines(docs).groupBy("doc_id", "text_key").agg(F.collect_set("positions").alias("parts"))
     sizes = docs.select("doc_id", F.xxhash64("text").alias("text_key"), n_lines(F.col("text")).alias("n_lines")).distinct()
     found = per_doc.join(sizes, ["doc_id", "text_key"]).select("doc_id", "text_key", "parts", "n_lines")
     return found.mapInArrow(_bitmaps, "doc_id long, text_key long, n_lines long, n_dropped long, keep_bitmap binary")
@@ -135,33 +145,27 @@ def n_lines(text):
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long")
 
 
-def _apply(text_at: int, bitmap_at: int):
-    def run(batches):
-        for b in batches:
-            texts = b.column(text_at).to_pylist()
-            for i, bitmap in enumerate(b.column(bitmap_at).to_pylist()):
-                if bitmap is not None:
-                    lines = texts[i].split("\n")
-                    bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=len(lines))
-                    texts[i] = "\n".join(x for x, keep in zip(lines, bits) if keep)
-            cols = [c for i, c in enumerate(b.columns) if i != bitmap_at]
-            names = [x for i, x in enumerate(b.schema.names) if i != bitmap_at]
-            cols[text_at] = pa.array(texts, b.schema.field(text_at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return run
+def _apply(batches):
+    """Over text, row, bitmap (null: all lines stay), number of lines and of dropped ones."""
+    for b in batches:
+        texts = b.column(0).to_pylist()
+        for i, bitmap in enumerate(b.column(2).to_pylist()):
+            if bitmap is not None:
+                lines = texts[i].split("\n")
+                bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=len(lines))
+                texts[i] = "\n".join(x for x, keep in zip(lines, bits) if keep)
+        yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(0).type), b.column(1), b.column(3), b.column(4)], names=["text", "row", "n_lines", "n_dropped"])
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs, text without its dropped lines, with n_lines and n_dropped (named _n_lines and _n_dropped where docs has those)."""
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    b = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("n_dropped").alias("_lost"), "keep_bitmap")
-    b = b.withColumnRenamed("keep_bitmap", "_keep_bitmap")
-    joined = keyed.join(b, (F.col("doc_id") == F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left")
-    lines, lost = ("_n_lines" if "n_lines" in docs.columns else "n_lines"), ("_n_dropped" if "n_dropped" in docs.columns else "n_dropped")
-    out = joined.select(*docs.columns, n_lines(F.col("text")).alias(lines), F.coalesce("_lost", F.lit(0)).cast("long").alias(lost), "_keep_bitmap")
-    schema = out.drop("_keep_bitmap").schema
-    return out.mapInArrow(_apply(docs.columns.index("text"), len(out.columns) - 1), schema)
+    """docs, text without its dropped lines, with n_lines and n_dropped (under fresh names where docs has those)."""
+    at = [c for c in docs.columns if c != "text"].index("doc_id")
+    keyed = packed(docs, "text").select("text", "row", F.col(f"row.c{at}").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    joined = keyed.join(bitmaps.select("doc_id", "text_key", "n_dropped", "keep_bitmap"), ["doc_id", "text_key"], "left")
+    out = joined.select("text", "row", "keep_bitmap", n_lines(F.col("text")).alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
+    applied = out.mapInArrow(_apply, out.select("text", "row", "n_lines", "n_dropped").schema)
+    lines, lost = fresh(docs.columns, "n_lines", "n_dropped")
+    return applied.select(*unpacked(docs.columns, "text"), F.col("n_lines").alias(lines), F.col("n_dropped").alias(lost))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
