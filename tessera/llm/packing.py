@@ -12,7 +12,8 @@ Bins are local to shards: documents are dealt by a hash to as many shards as the
 source, so no task's share grows with the input or with a hot source.
 
 Defined cases: null and wordless texts have no tokens and get no bin (bin null); a null source or cluster conflicts with
-nothing; equal pieces are placed in order of doc_id and piece; rows that repeat are packed each; empty table, empty result.
+nothing; equal pieces are placed in order of doc_id and piece; rows that repeat are packed each; a very long text is cut into
+full bins and one remainder; an empty table gives an empty result; other columns are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -137,9 +138,10 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD
     items = items.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("cluster").cast("long"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
     items = materialise(items, "pack-items")  # narrow; texts are read once
     shards = max(1, -(-items.count() // shard_rows))
-    # mixes source in, so that a source's rows spread even where ids follow a pattern
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster", "n_tokens"), F.lit(shards)).cast("int"))
-    some = dealt.filter("n_tokens > 0").repartition(shards, "shard").sortWithinPartitions("shard")
+    # mixes source in, so that a source's rows spread even where ids follow a pattern, and the place, so that repeated rows do
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster", "n_tokens", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    # a shard's number is its partition's
+    some = dealt.filter("n_tokens > 0").repartitionById(shards, "shard").sortWithinPartitions("shard")
     packed = some.mapInArrow(_packed(capacity), _OUT)
     none = dealt.filter("n_tokens = 0").select("doc_id", "source", "cluster", "n_tokens", *(F.lit(None).cast(k).alias(x) for x, k in (y.split() for y in _OUT.split(", ")[4:])))
     return packed.unionByName(none)
