@@ -11,11 +11,17 @@ No bucket is turned into all its pairs. Equal sets are collapsed to one node fir
 with the bucket's first node only, round 2 with its most central one. Confirmed links give components, and a bucket whose
 members are all in one is done. The members of other buckets, which an index on signatures alone can't keep from meeting (texts
 around one common text or passage), are compared in round 3 by the exact prefix filter: pairs in different components that share
-one of their rarest shingles, at a place and with sizes that allow the threshold.
+one of their rarest shingles, at a place and with sizes that allow the threshold. Where more texts than a task takes share a rare
+shingle, they are dealt to blocks, and each pair of blocks is a task of its own that counts shared shingles and gives links only;
+of shingles with the same holders one is taken.
+
+What a task holds does not grow with a bucket, a hub or a component: buckets are read as streams, a hub's pairs are dealt over
+parts with its text once each, and joins on labels are of narrow rows that Spark splits where they are skewed.
 
 Defined cases: a text with fewer than five words is one shingle; null and wordless texts have the empty set and are linked with
-nothing; a null doc_id is linked with nothing and stays; rows that repeat a doc_id are one document; an empty table gives an
-empty table; columns other than doc_id and text pass through or are ignored.
+nothing; a null doc_id is linked with nothing and stays; rows that repeat a doc_id are one document; a very long text is hashed whole
+in one task; an empty table gives an empty table; columns other than doc_id and text pass through or are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, lowered, materialise, mix, shuffle_partitions, word_hashes
+from tessera.llm.common import lookup, lowered, materialise, mix, quoted, release, shuffle_partitions, word_hashes
 
 SHINGLE, PERCENT = 5, 75
 CHUNKS, PER_CHUNK = 18, 4
@@ -39,6 +45,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 16_384
 #: Members that tell a bucket's most central one, and bits of the sketch that tells rare shingles.
 PROBES, SKETCH_BITS = 32, 17
+#: Members of a bucket of which the central one is chosen, pairs of a hub in one part, and texts in a block.
+CHOICE, PART, BLOCK_ROWS = 256, 512, 1000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -129,32 +137,39 @@ def _stars(batches):
     yield batch(out)
 
 
-def _confirmed(batches):
-    cache: dict[int, np.ndarray] = {}
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    same = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
+    return same > 0 and 100 * same >= PERCENT * (len(x) + len(y) - same)
 
-    def of(doc, text):
-        if doc not in cache:
-            if len(cache) >= 64:
-                cache.clear()
-            cache[doc] = shingles(text)
-        return cache[doc]
 
-    for b in batches:
-        keep = []
-        for a, c, ta, tc in zip(*(x.to_pylist() for x in b.columns)):
-            x, y = of(a, ta), shingles(tc)
-            same = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
-            keep.append(same > 0 and 100 * same >= PERCENT * (len(x) + len(y) - same))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _confirmed(batches):
+    """Over (a, part, b, text), sorted, a's own text first with a null b: the pairs that are similar enough. Of a doc_id that repeats,
+    any of its texts may be."""
+    now, hubs = None, {}
+    for batch in batches:
+        out = []
+        for a, part, b, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if (a, part) != now:
+                now, hubs = (a, part), {}
+            s = shingles(text)
+            if b is None:
+                hubs[xxhash.xxh3_128_digest(s.tobytes())] = s
+            elif any(_similar(x, s) for x in hubs.values()):
+                out.append((a, b))
+        cols = list(zip(*out)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    # texts are never broadcast, whatever their size
-    joined = pairs.join(ta.hint("merge"), "a").join(tb.hint("merge"), "b").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(_confirmed, "a long, b long").distinct()
+    """The pairs (a, b) whose full sets are similar enough. a's text goes once to each part of its pairs; texts are never broadcast."""
+    spark = pairs.sparkSession
+    large = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > PART)
+    parts = F.coalesce(F.ceil(F.col("n") / PART), F.lit(1)).cast("int")
+    dealt = pairs.join(large, "a", "left").select("a", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"), "b")
+    others = dealt.join(texts.select(F.col("doc_id").alias("b"), "text").hint("merge"), "b").select("a", "part", "b", "text")
+    hubs = dealt.select("a", "part").distinct().join(texts.select(F.col("doc_id").alias("a"), "text").hint("merge"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    rows = hubs.unionByName(others).repartition(shuffle_partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(_confirmed, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,54 +177,68 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select("a", "b")
     both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    before = labels
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
         hop = labels.join(near, "node").select("node", "label", F.least("label", "_near").alias("_hop"))
         jump = labels.select(F.col("node").alias("_hop"), F.col("label").alias("_jump"))
         new = materialise(hop.join(jump, "_hop").select("node", F.least("_hop", "_jump").alias("label"), (F.least("_hop", "_jump") != F.col("label")).alias("_moved")), "labels")
-        labels = new.select("node", "label")
+        release(before)
+        before, labels = new, new.select("node", "label")
         if new.filter("_moved").isEmpty():
+            release(both)
             return labels
 
 
 def _hubs(batches):
-    """Over (key, node, label, signature), sorted by key: pairs of each member of a bucket with its most central one, if they are
-    in different components and within MAX_DISTANCE. Central: close to most of a few members, evenly chosen."""
+    """Over (key, node, label, signature), sorted by key: pairs (hub, member) of each member of a bucket with its most central one, if they
+    are in different components and within MAX_DISTANCE. Central: of the first CHOICE members, close to most of a few; members come
+    in the order of a hash, so these are a fair choice."""
+    now, first, hub = None, [], None
+    tried: set[tuple[int, int]] = set()
 
-    def pairs(rows):
+    def of(rows):
         node, label = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-        sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(-1, COMPONENTS)
+        return node, label, np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(-1, COMPONENTS)
+
+    def chosen(rows):
+        node, label, sig = of(rows)
         some = sig[np.linspace(0, len(rows) - 1, min(len(rows), PROBES)).astype(int)]
         close = sum((np.count_nonzero(sig != x, axis=1) <= COMPONENTS * (100 - PERCENT) // 100).astype(int) for x in some)
-        hub = int(np.argmax(close))
-        at = np.flatnonzero((label != label[hub]) & (np.count_nonzero(sig != sig[hub], axis=1) <= MAX_DISTANCE))
-        return {(min(node[hub], node[i]), max(node[hub], node[i])) for i in at}
-
-    yield from _by_key(batches, pairs)
+        at = int(np.argmax(close))
+        return int(node[at]), int(label[at]), sig[at]
 
+    def pairs(rows, hub):
+        node, label, sig = of(rows)
+        at = np.flatnonzero((label != hub[1]) & (np.count_nonzero(sig != hub[2], axis=1) <= MAX_DISTANCE))
+        return {(hub[0], int(node[i])) for i in at}
 
-def _by_key(batches, pairs):
-    """The pairs of each run of rows with one key, without those that this task has given already."""
-    now, rows = None, []
-    tried: set = set()
-
-    def batch(found):
-        new = found - tried
-        if len(tried) > 1_000_000:
-            tried.clear()
-        tried.update(new)
-        cols = list(zip(*new)) or [(), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+    def ended(rows, hub):
+        return pairs(rows, hub or chosen(rows)) if hub and rows or len(rows) > 1 else set()
 
     for b in batches:
+        found: set[tuple[int, int]] = set()
         for key, *row in zip(*(c.to_pylist() for c in b.columns)):
             if key != now:
-                if len(rows) > 1:
-                    yield batch(pairs(rows))
-                now, rows = key, []
-            rows.append(row)
-    if len(rows) > 1:
-        yield batch(pairs(rows))
+                found |= ended(first, hub)
+                now, first, hub = key, [], None
+            first.append(row)
+            if len(first) >= CHOICE:
+                hub = hub or chosen(first)
+                found |= pairs(first, hub)
+                first = []
+        yield _new(found, tried)
+    yield _new(ended(first, hub), tried)
+
+
+def _new(found: set, tried: set):
+    """A batch of the pairs that this task has not given already."""
+    new = found - tried
+    if len(tried) > 1_000_000:
+        tried.clear()
+    tried.update(new)
+    cols = list(zip(*new)) or [(), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
 def _cells(s: np.ndarray) -> np.ndarray:
@@ -246,7 +275,10 @@ def _prefixes(counts):
 
 def _sharing(batches):
     """Over (token, node, label, size, place), sorted by token: pairs in different components that may be similar enough if this is the
-    first shingle they share: sizes allow it, and so does what comes after it."""
+    first shingle they share: sizes allow it, and so does what comes after it. A token with more than BLOCK_ROWS rows gives one row, with a
+    null a: b is the token."""
+    now, rows, n = None, [], 0
+    tried: set[tuple[int, int]] = set()
 
     def pairs(rows):
         node, label, size, place = (np.array(x, np.int64) for x in zip(*rows))
@@ -262,19 +294,89 @@ def _sharing(batches):
             out.update((min(node[i], node[j]), max(node[i], node[j])) for j in np.flatnonzero(ok))
         return out
 
-    yield from _by_key(batches, pairs)
+    def ended():
+        return {(None, now)} if n > BLOCK_ROWS else pairs(rows) if len(rows) > 1 else set()
+
+    for b in batches:
+        found: set = set()
+        for token, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if token != now:
+                found |= ended()
+                now, rows, n = token, [], 0
+            n += 1
+            if n <= BLOCK_ROWS:
+                rows.append(row)
+            else:
+                rows = []
+        yield _new(found, tried)
+    yield _new(ended(), tried)
+
+
+def _across(batches):
+    """Over (token, i, j, block, node, label, text), sorted by the first three: links between the texts of blocks i and j of one token in
+    different components (within the block where i is j), by the shingles they share."""
+    now, rows = None, []
 
+    def links(rows):
+        sets = [shingles(r[3]) for r in rows]
+        block, node, label = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        size = np.array([len(x) for x in sets], np.int64)
+        of = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(whole := np.concatenate(sets), kind="stable")
+        whole, of = whole[order], of[order]
+        split = block.min() != block.max()
+        found = set()
+        for i in np.flatnonzero(block == block.min()) if split else range(len(sets)):
+            lo, hi = np.searchsorted(whole, sets[i]), np.searchsorted(whole, sets[i], side="right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            same = np.bincount(of[at], minlength=len(sets))
+            ok = (label != label[i]) & (100 * same >= PERCENT * (size + size[i] - same)) & (block != block[i] if split else True)
+            found.update((min(node[i], node[j]), max(node[i], node[j])) for j in np.flatnonzero(ok))
+        return found
 
-def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """members: node, label. All pairs of members in different components that may be over the threshold, by shared rare shingles.
-    Rare is what a sketch of fixed size says; any order would give whole results, this one keeps common passages out."""
+    for b in batches:
+        found: set = set()
+        for token, i, j, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if (token, i, j) != now:
+                found |= links(rows) if len(rows) > 1 else set()
+                now, rows = (token, i, j), []
+            rows.append(row)
+        yield _new(found, set())
+    yield _new(links(rows) if len(rows) > 1 else set(), set())
+
+
+def _in_blocks(prefixes: DataFrame, open_tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among the texts that share one of these tokens, which too many share for one task. A pair of blocks is a task."""
+    spark = prefixes.sparkSession
+    rows = prefixes.join(open_tokens, "token").select("token", "node", "label").distinct()
+    of = rows.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("holders"), F.countDistinct("label").alias("labels")).filter("labels > 1")
+    of = materialise(of.groupBy("n", "holders").agg(F.min("token").alias("token")).select("token", "n"), "open-tokens")
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    dealt = lookup(rows, of.select("token", blocks.alias("blocks"), "n"), "token", "n").filter("blocks IS NOT NULL")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
+    full = met.join(texts.select(F.col("doc_id").alias("node"), "text").hint("merge"), "node").select("token", "i", "j", "block", "node", "label", "text")
+    full = full.repartition(shuffle_partitions(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return full.mapInArrow(_across, "a long, b long").distinct()
+
+
+def _rest(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members: node, label -> candidate pairs and links that make up all pairs of members in different components over the threshold,
+    by shared rare shingles. Rare is what a sketch of fixed size says; any order would give whole results, this one keeps common
+    passages out."""
     spark = members.sparkSession
     placed = materialise(members.join(texts.hint("merge"), members["node"] == texts["doc_id"]).select("node", "label", "text"), "rest")
     cells = placed.select("text").mapInArrow(_sketched, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2**SKETCH_BITS rows at most
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     prefixes = placed.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts)), "token long, node long, label long, size long, place long")
-    return prefixes.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token").mapInArrow(_sharing, "a long, b long").distinct()
+    found = prefixes.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token").mapInArrow(_sharing, "a long, b long")
+    found = materialise(found.distinct(), "sharing")
+    opened = found.filter("a IS NULL").select(F.col("b").alias("token"))
+    links = texts.sparkSession.createDataFrame([], "a long, b long") if opened.isEmpty() else _in_blocks(prefixes, opened, texts)
+    return found.filter("a IS NOT NULL"), links
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -302,21 +404,26 @@ def near_groups(docs: DataFrame) -> DataFrame:
     labels = components(links)
     members = stars.filter(F.col("kind") == MEMBER).select("key", F.col("a").alias("node")).distinct()
     for last in (False, True):
-        placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        members = materialise(placed.join(open_keys, "key", "left_semi"), "open-buckets")
+        placed = materialise(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "placed")
+        open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+        open_keys = materialise(open_keys.select("key", F.lit(True).alias("is_open"), "n"), "open-keys")
+        before, members = members, materialise(lookup(placed, open_keys, "key", "n").filter("is_open").drop("is_open"), "open-buckets")
+        release(placed, open_keys, before)
         if members.isEmpty():
             break
+        sure = None
         if last:
-            found = _rest(members.select("node", "label").distinct(), texts)
+            found, sure = _rest(members.select("node", "label").distinct(), texts)
         else:
             full = members.join(signed, "node").select("key", "node", "label", "signature")
-            found = full.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_hubs, "a long, b long").distinct()
-        found = materialise(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+            found = full.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", F.xxhash64("node")).mapInArrow(_hubs, "a long, b long").distinct()
+        known = tried.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+        found = materialise(found.join(known, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti"), "pairs")
+        new = confirm(found, texts)
+        new = materialise(new.unionByName(sure).distinct() if last else new, "links")
         members = members.drop("label")
-        new = materialise(confirm(found, texts), "links")
         if not new.isEmpty():
-            tried, links = tried.unionByName(found), links.unionByName(new)
+            tried, links = tried.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), links.unionByName(new)
             labels = components(links)
 
     placed = materialise(nodes.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("label"), "least", "n"), "placed")
@@ -330,4 +437,5 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay, one of each group, with their own columns."""
     gone = near_groups(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # an anti-join gives columns of docs only, so no names can clash
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
