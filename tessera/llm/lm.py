@@ -1,7 +1,9 @@
 """LM scoring with Elias-Fano n-gram tries.
 
-The model is a bigram model with Dirichlet smoothing: p(w | h) = (c(h w) + MU * p0(w)) / (c(h) + MU). p0 is the relative
-frequency of every word that has a training count; a share as large as that of the words seen once is left for words without one:
+The model is a trigram model with hierarchical Dirichlet (interpolated) smoothing:
+    p(w | v)   = (c(v w) + MU * p0(w)) / (c(v) + MU)
+    p(w | u v) = (c(u v w) + MU3 * p(w | v)) / (c(u v) + MU3)
+and p(w | v) for a text's first word. p0 is the relative frequency of every word that has a training count; a share as large as that of the words seen once is left for words without one:
 half of it evenly (over as many words as were seen once), half by a byte-trigram spelling model.
 
 What is broadcast has a fixed bound at any size of the corpus: words with a share of 1/FREQUENT or more, so at most FREQUENT of
@@ -9,18 +11,21 @@ them, and the spelling model. Counts of other words are exact too, but only wher
 its tokens as a context meet, counts it there, and the counts of words that follow another such word come to that word's shard by
 a join on the word.
 
-Scan tasks send each (context, word) to the shard of the context: a blob of a few bytes a token. A frequent context is dealt
+Scan tasks send each (context, word), with the word before, to the shard of the context: a blob of a few bytes a token. A frequent context is dealt
 by context and word if the word is frequent too, so that both counts are known from the broadcast table, else to the word's own
-shard. A shard counts the pairs of its training documents, builds
-one trie over them and scores all its pairs with it; sums by document go back in blobs. So the corpus is shuffled once, and a
-shard's share is bounded by choosing their number by the tokens.
+shard. So all that happens to a pair of words meets in one shard. A shard counts the pairs and triples of its training documents, builds
+one trie over them and scores all its pairs with it; sums by document go back in blobs. The logarithm of a trigram's probability
+is that of a numerator, known where its last two words are, less that of a denominator, known where its first two are, and each adds
+its part. So the corpus is shuffled once, and a shard's share is bounded by choosing their number by the tokens.
 
-A trie has sorted contexts, monotone pointers to their successors, and the successors, made monotone by adding the context's
-offset, each an Elias-Fano sequence; probabilities and back-off weights are quantised to a byte. The levels lie in one
-memory-mapped file. A query finds the context, takes its pointers and searches the successor within them.
+A trie has sorted contexts, monotone pointers to their successors, the successors, made monotone by adding the context's
+offset, and below them pointers to the words before, kept the same way: each an Elias-Fano sequence; probabilities and
+back-off weights are quantised to a byte. The levels lie in one memory-mapped file. A query finds the context, takes its pointers and
+searches the successor within them, then the word before within the pair's.
 
 Defined cases: null counts as empty (one end token); a null doc_id counts as the empty text and so trains; repeated rows are scored
-and learned each; an empty table, or one without training rows, gives scores from the smoothing alone; other columns are ignored.
+and learned each; a very long text is one flush of one task, and its tokens are dealt like any other's; an empty table, or one without
+training rows, gives scores from the smoothing alone; other columns are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -40,12 +45,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import lowered, materialise, shuffle_partitions, word_hashes
 
-MU = 300.0
+#: Weight of the next lower order, in tokens.
+MU, MU3 = 300.0, 10.0
 FREQUENT = 1 << 20
 #: Contexts of the spelling model: two bytes, hashed to this many rows.
 ROWS = 8192
 BYTES_PER_FLUSH = 8 << 20
-TOKENS_PER_SHARD = 2_000_000
+TOKENS_PER_SHARD = 1_500_000
 END, START = b"\n", b"\t"  # no word has these bytes
 #: Spelling probabilities travel as bytes: steps of a tenth of log10.
 STEP = 0.1
@@ -154,27 +160,52 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, sums / np.maximum(n, 1)
 
 
+class Level:
+    """Sorted children of sorted parents: (parent, child) with pointers, both given by index of the parent and child's number."""
+
+    def __init__(self, parents: int, parent: np.ndarray, child: np.ndarray):
+        names = np.unique(child)
+        self.names = EliasFano(names, (int(names[-1]) if len(names) else 0) + 1)
+        self.span = len(names)
+        ranked = np.searchsorted(names, child).astype(np.uint64) + parent.astype(np.uint64) * np.uint64(self.span)
+        self.children = EliasFano(ranked, max(1, parents * self.span))
+        self.pointers = EliasFano(np.searchsorted(parent, np.arange(parents + 1)), len(parent) + 1)
+
+    def parts(self) -> list[EliasFano]:
+        return [self.names, self.children, self.pointers]
+
+    def find(self, parent: np.ndarray, names: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Index of each (parent, names[which]), -1 where it is not there; a parent may be -1. Successor search within the parent's
+        children."""
+        out = np.full(len(which), -1, np.int64)
+        name = self.names.find(names)[which]
+        ok = np.flatnonzero((name >= 0) & (parent >= 0))
+        for i in range(0, len(ok), 1 << 18):
+            at = ok[i : i + (1 << 18)]
+            of = parent[at]
+            start, stop = self.pointers.get(of).astype(np.int64), self.pointers.get(of + 1).astype(np.int64)
+            out[at] = self.children.find(name[at].astype(np.uint64) + of.astype(np.uint64) * np.uint64(self.span), start, stop)
+        return out
+
+
 class Trie:
-    """context (64 bits), word (41 bits) -> quantised log10 probability; of a context its count and back-off weight."""
+    """context (64 bits) -> word (41 bits) -> word before (41 bits). A pair has its quantised log10 p(w | v) and the weight that
+    it gives to what follows it, -log10(c + MU3); a triple its quantised log10 numerator; a context its back-off weight."""
 
-    def __init__(self, contexts, counts, pair_context, pair_word, log_p, log_backoff):
-        """contexts, sorted; pair_context (index of a context) and pair_word, sorted."""
-        words = np.unique(pair_word)
-        self.words = EliasFano(words, (int(words[-1]) if len(words) else 0) + 1)
-        self.span = len(words)
+    def __init__(self, contexts, log_backoff, pair_context, pair_word, log_p, weight, triple_pair, triple_word, log_t):
+        """contexts, pairs (index of a context, word) and triples (index of a pair, word) are sorted."""
         self.contexts = EliasFano(contexts, int(contexts[-1]) + 1 if len(contexts) else 1)
-        successor = np.searchsorted(words, pair_word).astype(np.uint64) + pair_context.astype(np.uint64) * np.uint64(self.span)
-        self.successors = EliasFano(successor, max(1, len(contexts) * self.span))
-        starts = np.searchsorted(pair_context, np.arange(len(contexts) + 1))
-        self.pointers = EliasFano(starts, len(pair_context) + 1)
-        self.p, self.p_values = quantised(log_p)
+        self.pairs, self.triples = Level(len(contexts), pair_context, pair_word), Level(len(pair_word), triple_pair, triple_word)
         self.backoff, self.backoff_values = quantised(log_backoff)
-        self.counts = counts
+        self.p, self.p_values = quantised(log_p)
+        self.weight, self.weight_values = quantised(weight)
+        self.t, self.t_values = quantised(log_t)
         self._map()
 
     def _map(self) -> None:
         """Move all levels into one memory-mapped file without a name (gone when the trie is)."""
-        places = [(t.levels, k) for t in (self.words, self.contexts, self.successors, self.pointers) for k in t.levels] + [(self.__dict__, k) for k in ("p", "backoff", "counts")]
+        parts = [self.contexts, *self.pairs.parts(), *self.triples.parts()]
+        places = [(t.levels, k) for t in parts for k in t.levels] + [(self.__dict__, k) for k in ("backoff", "p", "weight", "t")]
         with tempfile.TemporaryFile() as f:
             spans = []
             for table, k in places:
@@ -187,23 +218,23 @@ class Trie:
         for (table, k), at in zip(places, spans):
             table[k] = np.frombuffer(memory, table[k].dtype, len(table[k]), at)
 
-    def query(self, contexts, words, pair_context, pair_word, log_p0) -> np.ndarray:
-        """log10 p of pairs, given as indexes of contexts and words; a context that is not there has the back-off weight 1."""
+    def query(self, contexts, words, pair_context, pair_word, log_p0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs, given as indexes of contexts and words: their index (-1: not there), log10 p(w | v), and weight. A context that is not
+        there has the back-off weight 1."""
         found = self.contexts.find(contexts)
-        start, stop = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
-        weight = np.zeros(len(contexts))
-        known = np.flatnonzero(found >= 0)
-        start[known], stop[known] = self.pointers.get(found[known]).astype(np.int64), self.pointers.get(found[known] + 1).astype(np.int64)
-        weight[known] = self.backoff_values[self.backoff[found[known]]]
-        word = self.words.find(words)
-        out = weight[pair_context] + log_p0
-        at = np.flatnonzero((word[pair_word] >= 0) & (start < stop)[pair_context])
-        for i in range(0, len(at), 1 << 18):
-            part = at[i : i + (1 << 18)]
-            c = pair_context[part]
-            pair = self.successors.find(word[pair_word[part]].astype(np.uint64) + found[c].astype(np.uint64) * np.uint64(self.span), start[c], stop[c])
-            hit = pair >= 0
-            out[part[hit]] = self.p_values[self.p[pair[hit]]]
+        pair = self.pairs.find(found[pair_context], words, pair_word)
+        backoff = np.where(found >= 0, self.backoff_values[self.backoff[np.maximum(found, 0)]] if len(self.backoff) else 0.0, 0.0)
+        hit = pair >= 0
+        out, weight = backoff[pair_context] + log_p0, np.full(len(pair), -np.log10(MU3))
+        out[hit], weight[hit] = self.p_values[self.p[pair[hit]]], self.weight_values[self.weight[pair[hit]]]
+        return pair, out, weight
+
+    def numerators(self, pair, words, which, log_p) -> np.ndarray:
+        """log10(c(u v w) + MU3 * p(w | v)) of triples: index of the pair, u as words[which], log10 p(w | v)."""
+        out = log_p + np.log10(MU3)
+        at = self.triples.find(pair, words, which)
+        hit = at >= 0
+        out[hit] = self.t_values[self.t[at[hit]]]
         return out
 
 
@@ -306,7 +337,7 @@ class Vocabulary:
             return np.zeros(0, np.uint8)
         cells, starts = _spelling_cells(words)
         p = self.rest / 2 * (self.even + 10.0 ** np.add.reduceat(self.spelling[cells].astype(np.float64), starts))
-        return np.clip(np.rint(-np.log10(np.maximum(p, 1e-25)) / STEP), 0, 255).astype(np.uint8)
+        return np.clip(np.rint(-np.log10(p) / STEP), 0, 255).astype(np.uint8)  # the even part is far above the last step
 
 
 def learn(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
@@ -355,12 +386,15 @@ def _own_shard(x: np.ndarray, shards: int) -> np.ndarray:
 
 def _tokens(hashes: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct hashes, then those that stand for a text's end and start; first place of each distinct word; and of each token (ends
-    of texts are tokens) the index of its word and of its context."""
+    of texts are tokens) the index of its word, of its context and of the word before that."""
     uniq, first, token = np.unique(hashes, return_index=True, return_inverse=True)
     token = np.insert(token, np.cumsum(n_words), len(uniq))
     before = np.concatenate([[len(uniq) + 1], token[:-1]])
-    before[np.cumsum(n_words + 1)[:-1]] = len(uniq) + 1
-    return np.concatenate([uniq, np.array([END_HASH, START_HASH], np.uint64)]), first, token, before
+    starts = np.cumsum(n_words + 1)[:-1]
+    before[starts] = len(uniq) + 1
+    second = np.concatenate([[len(uniq) + 1], before[:-1]])
+    second[starts] = len(uniq) + 1
+    return np.concatenate([uniq, np.array([END_HASH, START_HASH], np.uint64)]), first, token, before, second
 
 
 def _wanted(vocab, shards: int):
@@ -387,23 +421,26 @@ def _wanted(vocab, shards: int):
 
 
 def _requests(vocab, shards: int):
-    """Blobs by shard: (document in the flush, context, word) of each token; and one row with the flush's documents."""
+    """Blobs by shard: (document in the flush, word before the context, context, word) of each token; and one row with the flush's
+    documents."""
 
-    def blob(doc, held, context, code_c, word, code_w, p0):
+    def blob(doc, train, context, code_c, word, code_w, p0, second, code_s):
         """Four groups, as context and word are frequent or not: three bytes for a frequent one, eight for another context, five and
-        the spelling probability for another word."""
+        the spelling probability for another word; a bit and as many bytes for the word before."""
         parts = []
         for fc in (True, False):
             for fw in (True, False):
                 at = np.flatnonzero(((code_c >= 0) == fc) & ((code_w >= 0) == fw))
                 d = doc[at]
-                parts.append(np.diff(d, prepend=0).astype(np.uint32))
+                parts += [np.diff(d, prepend=0).astype(np.uint32), np.packbits(train[at])]
                 parts += _low_high(code_c[at], 16) if fc else [context[at]]
                 if fw:
                     parts += _low_high(code_w[at], 16)
                 else:
                     parts += [*_low_high(word[at] & np.uint64(_LOW), 32), p0[at]]
-        return _pack(np.packbits(held), np.array([len(held)], np.uint32), *parts)
+                known = code_s[at] >= 0
+                parts += [np.packbits(known), *_low_high(code_s[at[known]], 16), *_low_high(second[at[~known]] & np.uint64(_LOW), 32)]
+        return _pack(*parts)
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -411,7 +448,7 @@ def _requests(vocab, shards: int):
             flush = (part << 24) + seq
             data, starts, ends, hashes, n_words = _words(texts)
             lengths = n_words + 1
-            of_hash, first, token, before = _tokens(hashes, n_words)
+            of_hash, first, token, before, second = _tokens(hashes, n_words)
             of_code = vocab.value.codes(of_hash)
             of_p0 = np.zeros(len(of_hash), np.uint8)
             doc = np.repeat(np.arange(len(doc_ids)), lengths)
@@ -421,12 +458,13 @@ def _requests(vocab, shards: int):
             other = np.flatnonzero((of_code < 0) & ~trained)
             of_p0[other] = vocab.value.spelled([data[s:e] for s, e in zip(starts[first[other]].tolist(), ends[first[other]].tolist())])
             hashes, context, code_w, code_c, p0 = of_hash[token], of_hash[before], of_code[token], of_code[before], of_p0[token]
-            del data, texts
+            train = ~held[doc]
+            del data, texts, token, before
             mixed = np.where(code_c < 0, context, np.where(code_w < 0, hashes, (context ^ (hashes >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)))
             shard = _own_shard(mixed, shards)
             order = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-            out = [(flush, s, None, blob(doc[i], held, context[i], code_c[i], hashes[i], code_w[i], p0[i])) for s in range(shards) if len(i := order[bounds[s] : bounds[s + 1]])]
+            out = [(flush, s, None, blob(doc[i], train[i], context[i], code_c[i], hashes[i], code_w[i], p0[i], of_hash[second[i]], of_code[second[i]])) for s in range(shards) if len(i := order[bounds[s] : bounds[s + 1]])]
             meta = [(flush, int(flush % shards), doc_ids, _pack(lengths, held.astype(np.uint8)))]
             cols = list(zip(*out, *meta))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=["flush", "shard", "ids", "data"])
@@ -451,36 +489,44 @@ def _scored(vocab):
         table = table.filter(pc.is_null(table["x"]))
         rows = list(zip(table["flush"].to_pylist(), table["shard"].to_pylist(), table["ids"].to_pylist(), table["data"].to_pylist()))
         out = [r for r in rows if r[2] is not None]
-        which, docs, contexts, words, p0s, trains = [], [], [], [], [], []
+        which, docs, contexts, words, p0s, trains, seconds = [], [], [], [], [], [], []
         blobs = [r for r in rows if r[2] is None]
-        for k, (_, _, _, data) in enumerate(blobs):
-            held, n, *parts = _unpack(data)
-            train = ~np.unpackbits(held, count=int(n[0])).astype(bool)
-            parts = iter(parts)
+        del rows, table
+        for k, row in enumerate(blobs):
+            parts = iter(_unpack(row[3]))
+            blobs[k] = row[:2]
             for fc in (True, False):
                 for fw in (True, False):
-                    doc = np.cumsum(next(parts), dtype=np.int64)
+                    doc = np.cumsum(next(parts), dtype=np.int64).astype(np.int32)
+                    trains.append(np.unpackbits(next(parts), count=len(doc)).astype(bool))
                     contexts.append(v.hashes[_joined(parts, 16)] if fc else next(parts))
                     if fw:
                         code = _joined(parts, 16)
                         words.append(code.astype(np.uint64) | np.uint64(1 << 40))
-                        p0s.append(v.log_p0[code])
+                        p0s.append(v.log_p0[code].astype(np.float32))
                     else:
                         words.append(_joined(parts, 32).astype(np.uint64))
-                        p0s.append(next(parts) * -STEP)
+                        p0s.append((next(parts) * -STEP).astype(np.float32))
+                    known = np.unpackbits(next(parts), count=len(doc)).astype(bool)
+                    second = np.zeros(len(doc), np.uint64)
+                    second[known] = _joined(parts, 16).astype(np.uint64) | np.uint64(1 << 40)
+                    second[~known] = _joined(parts, 32).astype(np.uint64)
+                    seconds.append(second)
                     docs.append(doc)
                     which.append(np.full(len(doc), k, np.int32))
-                    trains.append(train[doc])
         if blobs:
-            which, doc, context, word, p0, train = (np.concatenate(x) for x in (which, docs, contexts, words, p0s, trains))
-            docs = contexts = words = p0s = trains = None
+            which, doc, context, word, p0, train, second = (np.concatenate(x) for x in (which, docs, contexts, words, p0s, trains, seconds))
+            docs = contexts = words = p0s = trains = seconds = None
             contexts, c = np.unique(context, return_inverse=True)
             words, w_first, w = np.unique(word, return_index=True, return_inverse=True)
-            p0 = p0[w_first]  # of each word from here on
+            p0 = p0[w_first].astype(np.float64)  # of each word from here on
+            del context, word
+            counts = np.bincount(c[train], minlength=len(contexts))
             pairs, pair = np.unique(c * len(words) + w, return_inverse=True)
+            c, pair = c.astype(np.int32), pair.astype(np.int32)
+            del w
             pair_c, pair_w = pairs // len(words), pairs % len(words)
             seen = np.bincount(pair[train], minlength=len(pairs))
-            counts = np.bincount(c[train], minlength=len(contexts))
             code = v.codes(contexts)
             counts = np.where(code >= 0, v.counts[np.maximum(code, 0)], counts)
             # words of which this is the own shard were counted as contexts
@@ -491,19 +537,34 @@ def _scored(vocab):
                 at = np.minimum(np.searchsorted(known_word, words), len(known_word) - 1)
                 hit = np.flatnonzero(known_word[at] == words)
                 p0[hit] = v.counted(known_n[at[hit]])
+            triples, triple = np.unique(pair.astype(np.uint64) << np.uint64(41) | second, return_inverse=True)
+            triple = triple.astype(np.int32)
+            del second
+            triple_pair, triple_u = (triples >> np.uint64(41)).astype(np.int64), triples & np.uint64((1 << 41) - 1)
+            times = np.bincount(triple[train], minlength=len(triples))
             in_trie, of_pair = np.flatnonzero(counts > 0), np.flatnonzero(seen)
-            n_here = counts[pair_c[of_pair]]
-            log_p = np.log10((seen[of_pair] + MU * 10.0 ** p0[pair_w[of_pair]]) / (n_here + MU))
-            trie = Trie(contexts[in_trie], counts[in_trie], np.searchsorted(in_trie, pair_c[of_pair]), words[pair_w[of_pair]], log_p, np.log10(MU / (counts[in_trie] + MU)))
-            log_p = trie.query(contexts, words, pair_c, pair_w, p0[pair_w])[pair]
-            real = (contexts != np.uint64(START_HASH))
+            log_p = np.log10((seen[of_pair] + MU * 10.0 ** p0[pair_w[of_pair]]) / (counts[pair_c[of_pair]] + MU))
+            of_triple = np.flatnonzero(times)
+            at = np.searchsorted(of_pair, triple_pair[of_triple])
+            log_t = np.log10(times[of_triple] + MU3 * 10.0 ** log_p[at])
+            trie = Trie(
+                contexts[in_trie], np.log10(MU / (counts[in_trie] + MU)), np.searchsorted(in_trie, pair_c[of_pair]), words[pair_w[of_pair]], log_p, -np.log10(seen[of_pair] + MU3), at, triple_u[of_triple], log_t
+            )
+            index, log_p, weight = trie.query(contexts, words, pair_c, pair_w, p0[pair_w])
+            us, u = np.unique(triple_u, return_inverse=True)
+            log_t = trie.numerators(index[triple_pair], us, u, log_p[triple_pair])
+            # a text's first word has no word before its context; nothing follows a text's end
+            real = contexts != np.uint64(START_HASH)
+            log_t = np.where(real[pair_c[triple_pair]], log_t, log_p[triple_pair])
+            ends = words[pair_w] == np.uint64(int(v.codes(np.array([END_HASH], np.uint64))[0]) | 1 << 40)
+            score = log_t[triple] + np.where(ends, 0.0, weight)[pair]
             base = np.where(real, np.log10(counts + 1), 0.0)[c]
             known = (real & (counts > 0)).astype(np.float64)[c]
             bounds = np.searchsorted(which, np.arange(len(blobs) + 1))
-            for k, (flush, shard, _, _) in enumerate(blobs):
+            for k, (flush, shard) in enumerate(blobs):
                 at = slice(bounds[k], bounds[k + 1])
                 here = np.flatnonzero(np.bincount(doc[at]))
-                sums = [np.bincount(doc[at], x[at])[here] for x in (base, log_p, known)]
+                sums = [np.bincount(doc[at], x[at])[here] for x in (base, score, known)]
                 out.append((flush, shard, None, _pack(here.astype(np.uint32), sums[0], sums[1].astype(np.float32), sums[2].astype(np.uint32))))
         cols = list(zip(*out)) or [()] * 4
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=["flush", "shard", "ids", "data"])
