@@ -9,8 +9,10 @@ prefixes are computed once.
 
 Encoded words are cached (bounded). Special tokens' strings in a text are found first, as the tokenizers library does.
 
+What the file says of normaliser, pre-tokenizer, decoder and model is read; kinds that are not supported are refused.
+
 Defined cases: null counts as empty (no ids, empty text); repeated rows are encoded each; an empty table gives an empty table;
-other columns are ignored; long texts are encoded whole, word by word.
+other columns are ignored, so their names can't clash; long texts are encoded whole, word by word.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 CACHE = 400_000
-#: The word pattern of the byte-level pre-tokenizer (fixed value).
+#: The word pattern of a pre-tokenizer of the kind ByteLevel with use_regex (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -34,12 +36,27 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _refuse(spec: dict) -> None:
+    """A ValueError for a file whose encoding this module would not give."""
+    model, before, after = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    plain = {"dropout": (None, 0, 0.0), "continuing_subword_prefix": (None, ""), "end_of_word_suffix": (None, ""), "fuse_unk": (None, False), "byte_fallback": (None, False), "ignore_merges": (None, False)}
+    faults = [f"model.{k} is {model[k]}" for k, fits in plain.items() if k in model and model[k] not in fits]
+    faults += [f"model is {model.get('type')}"] * (model.get("type", "BPE") != "BPE")
+    faults += ["it has a normalizer"] * (spec.get("normalizer") is not None)
+    faults += [f"pre_tokenizer is {before}"] * (before.get("type") != "ByteLevel" or before.get("add_prefix_space", True) or not before.get("use_regex", True))
+    faults += [f"decoder is {after}"] * (after.get("type") != "ByteLevel")
+    faults += [f"added token {x['content']!r} has flags" for x in spec.get("added_tokens", ()) if x.get("single_word") or x.get("lstrip") or x.get("rstrip")]
+    if faults:
+        raise ValueError("not supported: " + "; ".join(faults))
+
+
 class BytePairs:
     """Vocabulary and merges of a tokenizer file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _refuse(spec)
         to_byte = byte_chars()
         as_bytes = lambda s: bytes(to_byte[c] for c in s)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}

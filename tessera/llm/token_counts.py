@@ -7,10 +7,10 @@ pre-tokenizer does, and each distinct piece is counted once (cache of bounded si
 The tie rules are those of the Unigram model of the tokenizers library: a path replaces another only when its score is larger,
 and candidates come from the longest match to the shortest; a character without a one-character match gets an unknown edge at
 ten below the least score, tried last; an unknown character counts as its UTF-8 bytes where the vocabulary has all byte
-pieces, else runs of unknown characters count once.
+pieces, else runs of unknown characters count once. Control, unknown and byte pieces are never matched by a text that spells them.
 
 Defined cases: null and empty texts count 0; repeated rows are counted each; an empty table gives an empty table; no cap on
-length: the state held is one number a position of one piece.
+length: the state held is one number a position of one piece; other columns are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -25,14 +25,15 @@ CACHE = 500_000
 
 
 class UnigramCounter:
-    def __init__(self, vocab: list[tuple[str, float]], unk_id: int | None = 0):
+    def __init__(self, vocab: list[tuple[str, float]], hidden: frozenset[int] | set[int] = frozenset()):
+        """hidden: ids of pieces that no text matches."""
         self.automaton = ahocorasick.Automaton()
-        for piece, score in vocab:
-            if piece:
+        for i, (piece, score) in enumerate(vocab):
+            if piece and i not in hidden:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.singles = {p for p, _ in vocab if len(p) == 1}
-        self.unknown = min(s for _, s in vocab) - UNKNOWN_PENALTY
+        self.singles = {p for i, (p, _) in enumerate(vocab) if len(p) == 1 and i not in hidden}
+        self.unknown = min(s for i, (_, s) in enumerate(vocab) if i not in hidden) - UNKNOWN_PENALTY
         self.pieces = {p for p, _ in vocab}
         self.has_bytes = all(f"<0x{b:02X}>" in self.pieces for b in range(256))
         self.cache: dict[str, int] = {}
@@ -81,12 +82,14 @@ class UnigramCounter:
         return total
 
 
-def read_vocab(path: str) -> tuple[list[tuple[str, float]], int]:
-    """Pieces and scores of a sentencepiece model file in id order, and the unknown id."""
+def read_vocab(path: str) -> tuple[list[tuple[str, float]], frozenset[int]]:
+    """Pieces and scores of a sentencepiece model file in id order, and the ids of those that no text matches."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())], model.unk_id()
+    ids = range(model.get_piece_size())
+    hidden = frozenset(i for i in ids if model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
+    return [(model.id_to_piece(i), model.get_score(i)) for i in ids], hidden
 
 
 _counters: dict[str, UnigramCounter] = {}
