@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, minhash, packing, quality_rules
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, quoted
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that stay elsewhere; n_chars counts what is left."""
     kept = line_dedup.drop_lines(docs)
-    return kept.selectExpr(*[c if c != "n_chars" else "CAST(length(text) AS BIGINT) AS n_chars" for c in docs.columns])
+    return kept.select(*[quoted(c) if c != "n_chars" else F.length("text").cast("long").alias("n_chars") for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
