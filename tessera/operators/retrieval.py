@@ -6,6 +6,8 @@ contents are joined back last, by id, to the few rows that are left.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.functions.scoring import STRATEGIES, rrf
+from tessera.operators.storage import cut
 
 #: Rows of a query table up to which it is broadcast.
 MAX_BROADCAST_QUERIES = 10_000
@@ -29,13 +32,48 @@ def small(df: DataFrame, most: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Queries of one block of a vector search.
+QUERY_BLOCK = 4096
+
+
+def _blocked(queries: DataFrame, corpus: DataFrame, k: int, digits: int) -> DataFrame:
+    """Any number of queries: blocks of them, one task's corpus rows at a time as a matrix product; each task keeps k rows a query."""
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    q = queries.select("query_id", F.col("_q").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = q.select("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), "v")
+    held = corpus.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("part"), F.lit(False).alias("asks"), "id", F.col("_v").alias("v"))
+
+    def best(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for dims, rows in pdf.groupby(pdf["v"].map(len)):
+            qs, cs = rows[rows["asks"]], rows[~rows["asks"]]
+            if not len(qs) or not len(cs):
+                continue
+            of, ids = np.stack(cs["v"].to_numpy()), cs["id"].to_numpy()
+            for i in range(0, len(qs), 256):
+                part = qs.iloc[i : i + 256]
+                score = np.round(np.stack(part["v"].to_numpy()) @ of.T, digits)
+                for query, row in zip(part["id"], score):
+                    at = np.lexsort((ids, -row))[:k]
+                    out.append(pd.DataFrame({"query_id": query, "id": ids[at], "score": row[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    return asked.unionByName(held).groupBy("block", "part").applyInPandas(best, "query_id long, id long, score double")
+
+
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str = "id", score_digits: int = 6) -> DataFrame:
     """queries: query_id, query_vec; corpus: id_col, embedding and filter columns -> query_id, id, score, rank.
 
-    The corpus is scanned once with all queries (a stated query set) beside it."""
+    The corpus is scanned once with all queries (a stated query set) beside it; more than MAX_BROADCAST_QUERIES of them are dealt to
+    blocks."""
     q = queries.select("query_id", V.unit(V.as_double(F.col("query_vec"))).alias("_q"))
     c = corpus.filter(F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), V.unit(V.as_double(F.col("embedding"))).alias("_v"))
-    pairs = c.join(small(q), F.size("_q") == F.size("_v")).select("query_id", "id", F.round(V.dot(F.col("_q"), F.col("_v")), score_digits).alias("score"))
+    if queries.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES:
+        pairs = c.join(F.broadcast(q), F.size("_q") == F.size("_v")).select("query_id", "id", F.round(V.dot(F.col("_q"), F.col("_v")), score_digits).alias("score"))
+    else:
+        pairs = _blocked(q.filter("_q IS NOT NULL"), c, k, score_digits)
     return top_k(pairs, [F.desc("score"), F.asc("id")], k, keys=["query_id"])
 
 
@@ -46,17 +84,30 @@ def postings(corpus: DataFrame, *, id_col: str = "id", text_col: str = "content"
     return long.groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf"))
 
 
+#: Distinct terms of a query table up to which they are sent as a set.
+MAX_TERMS = 20_000
+
+
 def keyword_search(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str = "id", text_col: str = "content", k1: float = 1.2, b: float = 0.75, stop_words: list[str] | None = None) -> DataFrame:
-    """queries: query_id, query_text -> query_id, id, score, rank: documents that hold every term, by BM25."""
+    """queries: query_id, query_text -> query_id, id, score, rank: documents that hold every term, by BM25.
+
+    Texts are read and split once: of each document only the terms that are asked for go on, with its length, and one row without a term
+    for the corpus statistics."""
     terms = queries.select("query_id", F.array_distinct(T.terms(F.col("query_text"), stop_words)).alias("_t"))
     asked = terms.select("query_id", F.size("_t").alias("_n"), F.explode("_t").alias("term"))
-    docs = corpus.select(F.col(id_col).alias("id"), F.size(T.terms(F.col(text_col), stop_words)).alias("_len"))
-    stats = docs.agg(F.count("*").alias("_docs"), F.avg("_len").alias("_avg"))
-    index = postings(corpus, id_col=id_col, text_col=text_col, stop_words=stop_words)
-    # only terms that are asked for go on; a term's documents are counted from its own postings
-    hits = index.join(small(asked.select("term").distinct()), "term", "left_semi")
+    wanted = asked.select("term").distinct()
+    known = [r["term"] for r in wanted.limit(MAX_TERMS + 1).collect()]
+    docs = corpus.select(F.col(id_col).alias("id"), T.terms(F.col(text_col), stop_words).alias("_all"))
+    here = F.filter("_all", lambda t: t.isin(known)) if known and len(known) <= MAX_TERMS else F.col("_all") if known else F.array().cast("array<string>")
+    rows = docs.select("id", F.size("_all").alias("doc_len"), F.explode(F.concat(here, F.array(F.lit("")))).alias("term"))
+    if len(known) > MAX_TERMS:
+        rows = rows.join(wanted.unionByName(queries.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
+    hits = cut(rows.groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf")))
+    stats = hits.filter("term = ''").agg(F.count("*").alias("_docs"), F.avg("doc_len").alias("_avg"))
+    hits = hits.filter("term <> ''")
     df = hits.groupBy("term").agg(F.count("*").alias("_df"))
-    scored = hits.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    # both are of the queries' terms
+    scored = hits.join(small(df.join(asked, "term"), MAX_TERMS), "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("_avg")))
     per_doc = scored.groupBy("query_id", "id", "_n").agg(F.count("*").alias("_hits"), F.round(F.sum(weight), 6).alias("score"))

@@ -428,13 +428,13 @@ def chunk_classify(t: Tables) -> DataFrame:
 
 @query()
 def chunk_documents(t: Tables) -> DataFrame:
-    blocks = t.documents.select("doc_id", F.lit(0).alias("block_index"), F.col("text").alias("content"), F.lit("text").alias("content_type"), F.array("source").alias("heading_path"))
-    return chunking.chunk_blocks(blocks)
+    block = F.struct(F.col("text").alias("content"), F.lit("text").alias("content_type"), F.array("source").alias("heading_path"))
+    return chunking.chunk_blocks(t.documents.select("doc_id", F.array(block).alias("blocks")))
 
 
 @query()
 def table_split(t: Tables) -> DataFrame:
-    blocks = t.documents.filter("n_chars > 2000").select("doc_id", F.lit(0).alias("block_index"), F.concat(F.lit("| a |\n| --- |\n"), "text").alias("content"), F.lit("table").alias("content_type"))
+    blocks = t.documents.select("doc_id", F.lit(0).alias("block_index"), F.concat(F.lit("| a |\n| --- |\n"), "text").alias("content"), F.lit("table").alias("content_type"))
     return chunking.chunk_blocks(blocks, limits={"table": 200}).select("doc_id", "chunk_index", "token_count")
 
 
