@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.functions.scoring import clamp
+from tessera.operators.retrieval import overlap_score
+from tessera.providers import PROMPTS, completions, rating
 
 
 def allocation(n: int, shares: dict[str, float], rest: str = "abstractive") -> dict[str, int]:
@@ -55,3 +57,53 @@ def blind_spots(tests: DataFrame, results: DataFrame, threshold: float, top: int
 def metric_bar(value, cells: int = 20):
     n = F.round(clamp(value) * cells).cast("int")
     return F.concat(F.repeat(F.lit("#"), n), F.repeat(F.lit("."), F.lit(cells) - n), F.format_string(" %.4f", value))
+
+
+def entity_names(entities: DataFrame, n: int = 50) -> DataFrame:
+    """Names of the most specific entities, for questions that go over several passages."""
+    return entities.orderBy(F.desc_nulls_last("specificity"), "id").limit(n).select("id", "name")
+
+
+def answered(questions: DataFrame, search, chunks: DataFrame, provider, k: int = 5, chars: int = 3000) -> DataFrame:
+    """questions: query_id, query_text; search: a query table -> query_id, id, rank; chunks: id, content and optionally context_prefix.
+    query_id, contexts (prefix and content, in order) and answer, from so many characters of them; the first context without a model."""
+    prefix = F.coalesce("context_prefix", F.lit("")) if "context_prefix" in chunks.columns else F.lit("")
+    texts = chunks.select("id", F.when(prefix != "", F.concat(prefix, F.lit("\n"), "content")).otherwise(F.col("content")).alias("_t"))
+    found = search(questions).filter(F.col("rank") <= k).select("query_id", "id", "rank").join(texts, "id")
+    per = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "_t"))).alias("_r"))
+    rows = questions.join(per, "query_id", "left").withColumn("contexts", F.coalesce(F.transform("_r", lambda x: x["_t"]), F.array().cast("array<string>"))).drop("_r")
+    joined = F.substring(F.array_join("contexts", "\n\n"), 1, chars)
+    asked = completions(rows, F.concat(F.lit("Answer from the passages only.\nQuestion: "), "query_text", F.lit("\nPassages:\n"), joined), provider, "answer")
+    told = F.when(F.coalesce("answer", F.lit("")) != "", F.col("answer")).otherwise(F.coalesce(F.get("contexts", F.lit(0)), F.lit("")))
+    return asked.withColumn("answer", told)
+
+
+def evaluated(answers: DataFrame, provider, score=overlap_score) -> DataFrame:
+    """answers: query_id, query_text, ground_truth, contexts, answer -> the four metrics of each. Offline, what supports what is told by
+    shared terms: faithfulness of the answer's terms, precision of the contexts, recall of the truth's terms."""
+    whole = F.array_join("contexts", " ")
+    rated = completions(answers, PROMPTS["faithfulness"](F.col("answer"), F.substring(whole, 1, 2000)), provider, "_told")
+    faithful = F.when(F.coalesce("_told", F.lit("")) != "", rating(F.col("_told"), 0.0, 1.0)).otherwise(clamp(score(F.col("answer"), whole)))
+    flags = F.transform("contexts", lambda c: (score(F.col("query_text"), c) >= 0.5).cast("int"))
+    upto = lambda i: F.aggregate(F.slice("_f", 1, i + 1), F.lit(0), lambda a, x: a + x)
+    parts = F.filter(F.transform("_f", lambda x, i: F.when(x == 1, upto(i) / (i + 1))), lambda x: x.isNotNull())
+    precision = F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts)).otherwise(0.0)
+    rows = rated.withColumn("_f", flags)
+    return rows.select("query_id", F.round(faithful, 4).alias("faithfulness"), F.round(clamp(score(F.col("query_text"), F.col("answer"))), 4).alias("answer_relevancy"), F.round(precision, 4).alias("context_precision"), F.round(clamp(score(F.col("ground_truth"), whole)), 4).alias("context_recall"))
+
+
+METRICS = ["faithfulness", "answer_relevancy", "context_precision", "context_recall"]
+
+
+def dataset_run(questions: DataFrame, search, chunks: DataFrame, provider, run_name: str) -> tuple[DataFrame, DataFrame]:
+    """questions: query_id, query_text, ground_truth -> the metrics of each question, and one row of their means for eval_runs."""
+    scores = evaluated(answered(questions, search, chunks, provider), provider)
+    return scores, run_means(scores.withColumn("run_name", F.lit(run_name)), METRICS)
+
+
+def cycle_report(results: DataFrame, healed: DataFrame) -> DataFrame:
+    """results: collection, test_id, target_id, found; healed: collection, chunk_id -> a row a collection: total, blind_spots,
+    blind_spot_rate and healed chunks."""
+    n = results.groupBy("collection").agg(F.count("*").alias("total"), F.count(F.when(F.col("found") == 0, 1)).alias("blind_spots"))
+    h = healed.groupBy("collection").agg(F.countDistinct("chunk_id").alias("healed"))
+    return n.join(h, "collection", "left").select("collection", "total", "blind_spots", F.round(F.col("blind_spots") / F.col("total"), 4).alias("blind_spot_rate"), F.coalesce("healed", F.lit(0)).alias("healed"))

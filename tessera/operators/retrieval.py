@@ -45,7 +45,7 @@ def _blocked(queries: DataFrame, corpus: DataFrame, k: int, digits: int) -> Data
     asked = q.select("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), "v")
     held = corpus.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("part"), F.lit(False).alias("asks"), "id", F.col("_v").alias("v"))
 
-    def best(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def best(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for dims, rows in pdf.groupby(pdf["v"].map(len)):
             qs, cs = rows[rows["asks"]], rows[~rows["asks"]]

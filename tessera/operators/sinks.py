@@ -31,3 +31,8 @@ def swap(df: DataFrame, root: str, version: int) -> str:
     path = f"{root}/v={version:08d}"
     df.write.mode("error").parquet(path)
     return path
+
+
+def inserted_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges with the new ones. Parallel edges are kept, and diffusion adds them up."""
+    return edges.unionByName(new.select(*edges.columns))

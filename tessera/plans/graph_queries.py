@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as V
 from tessera.operators import graph, summary_tree
 from tessera.operators.retrieval import top_k
+from tessera.operators.storage import shared_dir
 from tessera.plans.registry import Tables, query
 from tessera.plans.search_queries import literal_rows
 from tessera.streaming import utility as stream
@@ -175,29 +175,27 @@ def summary_tree_levels(t: Tables) -> DataFrame:
     return summary_tree.build_tree(leaves, 2).groupBy("level").agg(F.count("*").alias("summaries"))
 
 
-def _replayed(t: Tables, table: str, plan) -> DataFrame:
-    """The rows a stream over a table leaves in a sink, once all is read."""
-    spark = t.spark
-    df = getattr(t, table)
-    name = f"stream_{uuid.uuid4().hex}"
-    q = plan(spark.readStream.schema(df.schema).parquet(f"{t.folder}/{table}.parquet*")).writeStream.outputMode("update").format("memory").queryName(name)
-    spark.conf.set("spark.sql.streaming.forceDeleteTempCheckpointLocation", "true")
-    q.option("checkpointLocation", f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.gettempdir()}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def _replayed(t: Tables, table: str, plan, keys: list[str]) -> DataFrame:
+    """The rows a stream over a table leaves in its table, once all is read."""
+    spark, df = t.spark, getattr(t, table)
+    updates = plan(spark.readStream.schema(df.schema).parquet(f"{t.folder}/{table}.parquet*"))
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream.upserted(updates, keys, f"{at}/table", f"{at}/progress").awaitTermination()
+    return stream.current(spark, f"{at}/table", updates.schema)
 
 
 @query("SELECT user_id AS chunk_id, round(0.5::DOUBLE * pow(0.85::DOUBLE, count(*)) + sum(0.15::DOUBLE * pow(0.85::DOUBLE, later) * least(1, greatest(0, value / 100))), 6) AS utility_ema, count(*) AS use_count FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS later FROM events WHERE event_type = 'purchase') GROUP BY user_id")
 def utility_stream(t: Tables) -> DataFrame:
     uses = lambda e: e.filter("event_type = 'purchase'").select(F.col("user_id").alias("chunk_id"), "ts", F.col("event_id").alias("seq"), (F.col("value") / 100).alias("contribution"))
-    return _replayed(t, "events", lambda e: stream.running_utility(uses(e))).select("chunk_id", F.round("utility_ema", 6).alias("utility_ema"), "use_count")
+    return _replayed(t, "events", lambda e: stream.running_utility(uses(e)), ["chunk_id"]).select("chunk_id", F.round("utility_ema", 6).alias("utility_ema"), "use_count")
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_stream(t: Tables) -> DataFrame:
-    return _replayed(t, "events", lambda e: stream.windowed_counts(e.withColumn("ts", F.col("ts").cast("timestamp")), "1 day", "40 days")).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+    return _replayed(t, "events", lambda e: stream.windowed_counts(e.withColumn("ts", F.col("ts").cast("timestamp")), "1 day", "40 days"), ["window", "event_type"]).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
 @query("SELECT count(DISTINCT text) AS files, sum(length(text)) FILTER (WHERE n = 1)::BIGINT AS chars FROM (SELECT text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents)")
 def watch_stream(t: Tables) -> DataFrame:
     fresh = lambda d: d.select(F.sha2("text", 256).alias("file_hash"), F.length("text").alias("chars")).dropDuplicates(["file_hash"])
-    return _replayed(t, "documents", fresh).agg(F.count("*").alias("files"), F.sum("chars").alias("chars"))
+    return _replayed(t, "documents", fresh, ["file_hash"]).agg(F.count("*").alias("files"), F.sum("chars").alias("chars"))

@@ -129,15 +129,6 @@ def id_list_semi_join(t: Tables) -> DataFrame:
     return t.documents.join(t.benchmark.select((F.col("item_id") * 7).alias("doc_id")), "doc_id", "left_semi").select("doc_id", "source")
 
 
-@query("""WITH top AS (SELECT s_suppkey FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10), e AS (SELECT DISTINCT l_suppkey AS a, l_suppkey % 100 + 1 AS b, l_partkey FROM lineitem)
-SELECT a, b, l_partkey FROM e WHERE a IN (SELECT * FROM top) AND b IN (SELECT * FROM top) ORDER BY l_partkey, a, b LIMIT 15""")
-def community_sample_relations(t: Tables) -> DataFrame:
-    top = t.supplier.orderBy(F.desc("s_acctbal"), "s_suppkey").limit(10)
-    e = t.lineitem.select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") % 100 + 1).alias("b"), "l_partkey").distinct()
-    in_top = e.join(top.select(F.col("s_suppkey").alias("a")), "a", "left_semi").join(top.select(F.col("s_suppkey").alias("b")), "b", "left_semi")
-    return in_top.orderBy("l_partkey", "a", "b").limit(15).select("a", "b", "l_partkey")
-
-
 @query("""SELECT lang AS collection, count(*) AS documents, count(DISTINCT source) AS files, count(DISTINCT sha256(text)) AS contents, count(l.doc_id) AS labelled FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY lang""")
 def collection_stats(t: Tables) -> DataFrame:
     j = t.documents.join(t.labels.select("doc_id", F.lit(1).alias("x")), "doc_id", "left")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import urllib.request
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -64,6 +66,81 @@ class HashEmbedding(Provider):
         return out
 
 
+class Http(Provider):
+    """A model behind HTTP with JSON. A subclass says what is sent where, and where the text of the answer is."""
+
+    timeout = 180
+
+    def __init__(self, url: str, model: str, key: str = ""):
+        self.url, self.model, self.key = url.rstrip("/"), model, key
+
+    def request(self, prompt: str, system: str, max_tokens: int) -> tuple[str, dict]:
+        raise NotImplementedError
+
+    def text(self, answer: dict) -> str:
+        raise NotImplementedError
+
+    def headers(self) -> dict[str, str]:
+        return {"Authorization": f"Bearer {self.key}"} if self.key else {}
+
+    def complete(self, prompt: str, system: str = "", max_tokens: int = 2000) -> str:
+        path, body = self.request(prompt, system, max_tokens)
+        asked = urllib.request.Request(self.url + path, json.dumps(body).encode(), {"Content-Type": "application/json", **self.headers()})
+        with urllib.request.urlopen(asked, timeout=self.timeout) as r:
+            return self.text(json.load(r)) or ""
+
+
+class ChatCompletions(Http):
+    """Servers with a chat completions end point."""
+
+    name = "chat"
+
+    def request(self, prompt: str, system: str, max_tokens: int) -> tuple[str, dict]:
+        told = [{"role": "system", "content": system}] if system else []
+        return "/chat/completions", {"model": self.model, "max_tokens": max_tokens, "messages": [*told, {"role": "user", "content": prompt}]}
+
+    def text(self, answer: dict) -> str:
+        return answer["choices"][0]["message"]["content"]
+
+
+class Generate(Http):
+    """Servers with a plain generate end point."""
+
+    name = "generate"
+
+    def request(self, prompt: str, system: str, max_tokens: int) -> tuple[str, dict]:
+        return "/api/generate", {"model": self.model, "prompt": prompt, "system": system, "stream": False, "options": {"num_predict": max_tokens}}
+
+    def text(self, answer: dict) -> str:
+        return answer["response"]
+
+
+class Messages(Http):
+    """Servers with a messages end point, whose system prompt stands apart."""
+
+    name = "messages"
+
+    def headers(self) -> dict[str, str]:
+        return {"x-api-key": self.key} if self.key else {}
+
+    def request(self, prompt: str, system: str, max_tokens: int) -> tuple[str, dict]:
+        return "/messages", {"model": self.model, "max_tokens": max_tokens, "messages": [{"role": "user", "content": prompt}], **({"system": system} if system else {})}
+
+    def text(self, answer: dict) -> str:
+        return "".join(x.get("text", "") for x in answer["content"])
+
+
+def complete_json(provider: Provider, prompt: str, system: str = "", max_tokens: int = 2000) -> dict:
+    """The answer's outermost JSON object; an empty one where there is none."""
+    answer = provider.complete(prompt, system, max_tokens)
+    start, end = answer.find("{"), answer.rfind("}")
+    try:
+        found = json.loads(answer[start : end + 1]) if 0 <= start < end else {}
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
 def completions(df: DataFrame, prompt: Column, provider: Provider, out: str = "answer") -> DataFrame:
     """df with the provider's answer to each row's prompt, in Arrow batches."""
 

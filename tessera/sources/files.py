@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.documents import table_markdown  # noqa: F401  a part of this module's interface
 
 #: File suffixes and their parsers.
 PARSERS = {".docx": "docx", ".doc": "docx", ".pdf": "pdf", ".txt": "text", ".md": "text", ".rst": "text"}
@@ -68,49 +70,52 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     return rows.select("doc_id", "block_index", F.col("b.content").alias("content"), path.alias("heading_path"), F.array_join("b.stack", " > ").alias("context_prefix"))
 
 
-def table_markdown(rows: list[list[str]]) -> str:
-    """Rows as a pipe table; short rows are padded, a cell that repeats its left neighbour (a merged one) is dropped."""
-    if not rows:
-        return ""
-    rows = [[c for i, c in enumerate(r) if not i or c is not r[i - 1]] for r in rows]
-    width = max(map(len, rows))
-    lines = ["| " + " | ".join([c.strip().replace("\n", " ") for c in r] + [""] * (width - len(r))) + " |" for r in rows]
-    return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])
+BLOCKS = "path string, block_index int, content string, content_type string, heading string, heading_path array<struct<level:int,text:string>>, context_prefix string, atomic boolean, preserve_ws boolean"
 
 
-def parse_binary(content: bytes, parser: str) -> list[dict]:
-    """Blocks of a document that needs its own reader; the readers are optional, and a failure is a block that says so."""
-    import io
+def binary_blocks(files: DataFrame) -> DataFrame:
+    """files: path, content, parser -> path, block_index and the block of each part of a DOCX or PDF document; heading is the last one."""
+    import pyarrow as pa
+
+    from tessera.sources.documents import parse_binary
 
-    try:
-        if parser == "pdf":
-            import pypdf
+    level = pa.struct([("level", pa.int32()), ("text", pa.string())])
+    shape = pa.schema([("path", pa.string()), ("block_index", pa.int32()), ("content", pa.string()), ("content_type", pa.string()), ("heading", pa.string()), ("heading_path", pa.list_(level)), ("context_prefix", pa.string()), ("atomic", pa.bool_()), ("preserve_ws", pa.bool_())])
 
-            pages = pypdf.PdfReader(io.BytesIO(content)).pages
-            return [{"content": (p.extract_text() or "").strip(), "content_type": "text", "heading": f"Page {i + 1}"} for i, p in enumerate(pages)]
-        import docx
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, content, parser in zip(*(c.to_pylist() for c in b.columns)):
+                stem = path.rpartition("/")[2].rpartition(".")[0]
+                for i, x in enumerate(parse_binary(content, parser, stem)):
+                    rows.append({"path": path, "block_index": i, "heading": x["heading_path"][-1]["text"] if x["heading_path"] else "", **x})
+            yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
-        out, heading = [], ""
-        for p in docx.Document(io.BytesIO(content)).paragraphs:
-            if p.style.name.startswith("Heading"):
-                heading = p.text.strip()
-            elif p.text.strip():
-                out.append({"content": p.text.strip(), "content_type": "text", "heading": heading})
-        return out
-    except Exception as e:  # a broken file must not end the job
-        return [{"content": f"[{parser.upper()} parse error: {e}]", "content_type": "text", "heading": ""}]
+    return files.filter(F.col("parser").isin("pdf", "docx")).select("path", "content", "parser").mapInArrow(run, BLOCKS)
 
 
-def binary_blocks(files: DataFrame) -> DataFrame:
-    """files: path, content, parser -> path, block_index, content, content_type, heading."""
-    import pandas as pd
+def decoded_text(content: Column) -> Column:
+    """Text of bytes of unknown encoding."""
+    from tessera.sources.documents import decoded
+
+    @F.pandas_udf("string")
+    def decode(s: pd.Series) -> pd.Series:
+        return s.map(decoded, na_action="ignore")
+
+    # nearly all files are UTF-8, which needs no Python
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(decode(content))
+
+
+def document_images(files: DataFrame) -> DataFrame:
+    """files: document_id, content (DOCX) -> document_id, name, content of each image."""
+    from tessera.sources.documents import images_of
 
     def run(batches):
         for pdf in batches:
-            rows = [(p, i, b["content"], b["content_type"], b["heading"]) for p, c, k in zip(pdf["path"], pdf["content"], pdf["parser"]) for i, b in enumerate(parse_binary(c, k))]
-            yield pd.DataFrame(rows, columns=["path", "block_index", "content", "content_type", "heading"])
+            rows = [(d, n, c) for d, content in zip(pdf["document_id"], pdf["content"]) for n, c in images_of(content)]
+            yield pd.DataFrame(rows, columns=["document_id", "name", "content"])
 
-    return files.filter(F.col("parser").isin("pdf", "docx")).select("path", "content", "parser").mapInPandas(run, "path string, block_index int, content string, content_type string, heading string")
+    return files.select("document_id", "content").mapInPandas(run, "document_id long, name string, content binary")
 
 
 def base64_of(content: Column) -> Column:

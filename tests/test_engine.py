@@ -1,5 +1,7 @@
 """Unit tests of functions and operators, with null and empty inputs."""
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -333,3 +335,187 @@ def test_sinks(spark, tmp_path):
         sinks.write_report(df, str(tmp_path / "reports"), n)
     assert sinks.newest_reports(spark, str(tmp_path / "reports"), 1).count() == 1
     assert spark.read.parquet(sinks.swap(df, str(tmp_path / "snap"), 1)).count() == 1
+
+
+def docx(parts, styles):
+    """A DOCX file of paragraphs (style id, text) and tables (rows of cells)."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda style, text: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{escape(text)}</w:t></w:r></w:p>'
+    cell = lambda c: f"<w:tc>{p('x', c)}</w:tc>"
+    body = "".join(p(*x) if isinstance(x, tuple) else "<w:tbl>" + "".join(f"<w:tr>{''.join(map(cell, r))}</w:tr>" for r in x) + "</w:tbl>" for x in parts)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles {w}>" + "".join(f'<w:style w:styleId="{i}"><w:name w:val="{n}"/></w:style>' for i, n in styles.items()) + "</w:styles>")
+        z.writestr("word/media/a.png", b"png")
+    return out.getvalue()
+
+
+class TestDocuments:
+    styles = {"h1": "heading 1", "h2": "Heading 2", "t": "Title", "q": "Quote", "b": "Body Text", "l": "List Number", "c": "Code", "toc": "toc 1", "x": "Normal"}
+
+    def blocks(self, parts):
+        from tessera.sources.documents import parse_binary
+
+        return [(b["content_type"], b["content"], [h["text"] for h in b["heading_path"]]) for b in parse_binary(docx(parts, self.styles), "docx", "doc")]
+
+    def test_roles(self):
+        got = self.blocks([("h1", "One"), ("x", "a"), ("x", "b"), ("l", "step 1"), ("l", "step 2"), ("x", "c"), ("q", "Term"), ("b", "its text"), ("b", "more"), ("b2", "d"), ("c", "  code  "), ("c", "x"), ("toc", "skipped"), ("h2", "Two"), [["k", "v"], ["1"], ["same", "same"]], ("b", "plain here"), ("h1", "Three"), ("x", "12"), ("x", "e"), ("q", "alone")])
+        assert got == [
+            ("text", "a\nb", ["One"]), ("procedure", "step 1\nstep 2", ["One"]), ("text", "c", ["One"]), ("definition", "Term\nits text\nmore", ["One"]), ("text", "d", ["One"]), ("screen_print", "  code  ", ["One"]), ("screen_print", "x", ["One"]),
+            ("table", "| k | v |\n| --- | --- |\n| 1 |  |\n| same | same |", ["One", "Two"]), ("text", "plain here", ["One", "Two"]), ("text", "12\ne", ["Three"]), ("definition", "alone", ["Three"]),
+        ]
+
+    def test_in_spark(self, spark):
+        from tessera.sources import files
+
+        df = spark.createDataFrame([("/in/My file.docx", docx([("t", "T"), ("x", "body")], self.styles), "docx"), ("/in/bad.docx", b"nope", "docx")], "path string, content binary, parser string")
+        rows = {(r.path, r.block_index): r for r in files.binary_blocks(df).collect()}
+        assert rows["/in/My file.docx", 0].context_prefix == "My file > T" and rows["/in/My file.docx", 0].heading == "T" and "DOCX parse error" in rows["/in/bad.docx", 0].content
+        images = files.document_images(df.filter("path LIKE '%My%'").selectExpr("1L AS document_id", "content")).collect()
+        assert [(r.name, bytes(r.content)) for r in images] == [("a.png", b"png")]
+
+    def test_pages_have_tables(self):
+        from tessera.sources.documents import _page_blocks
+
+        got = _page_blocks(3, " text ", [[["a", None], [1, 2]], [["only a header"]]], "f")
+        assert [b["content"] for b in got] == ["text", "| a |  |\n| --- | --- |\n| 1 | 2 |"] and got[0]["context_prefix"] == "f > Page 3"
+        assert _page_blocks(1, "12", [], "f") == []
+
+    def test_encodings(self, spark):
+        from tessera.sources import files
+
+        texts = ["plain é", "naïve café"]
+        raw = [texts[0].encode(), texts[1].encode("cp1252"), texts[1].encode("utf-16"), texts[0].encode("utf-16-le"), b"\xef\xbb\xbfx"]
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i long, c binary")
+        got = [r.t.lstrip("\ufeff") for r in df.orderBy("i").select(files.decoded_text(F.col("c")).alias("t")).collect()]
+        assert got == [texts[0], texts[1], texts[1], texts[0], "x"]
+
+
+def test_transports():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from tessera.providers import Chain, ChatCompletions, Generate, Messages, complete_json
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, body, self.headers.get("Authorization"), self.headers.get("x-api-key")))
+            answers = {"/v1/chat/completions": {"choices": [{"message": {"content": 'x {"a": 1} y'}}]}, "/v1/api/generate": {"response": "generated"}, "/v1/messages": {"content": [{"text": "mess"}, {"text": "age"}]}}
+            self.send_response(200 if self.path in answers else 500)
+            self.end_headers()
+            self.wfile.write(json.dumps(answers.get(self.path, {})).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/v1"
+    chat, plain, messages = ChatCompletions(url, "m", "k"), Generate(url, "m"), Messages(url, "m", "k")
+    assert complete_json(chat, "p", "s") == {"a": 1} and complete_json(plain, "p") == {} and messages.complete("p") == "message"
+    assert asked[0][1]["messages"] == [{"role": "system", "content": "s"}, {"role": "user", "content": "p"}] and asked[0][2] == "Bearer k" and asked[2][3] == "k" and asked[1][2] is None
+    assert Chain(ChatCompletions(f"{url}/nowhere", "m"), plain).complete("p") == "generated"
+    server.shutdown()
+
+
+def test_stream_upserts_over_three_files(spark, tmp_path):
+    from tessera.streaming import utility as U
+
+    schema = "chunk_id long, ts timestamp, seq long, contribution double"
+    source, at = str(tmp_path / "in"), str(tmp_path / "table")
+    stream = lambda: U.upserted(U.running_utility(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)), ["chunk_id"], at, str(tmp_path / "progress")).awaitTermination()
+    want, n = {}, 0
+    for part in ([(1, 1.0), (2, 0.0)], [(1, 0.2), (3, None)], [(2, 1.0), (1, 1.0)]):
+        rows = [(c, datetime.datetime(2024, 1, 1), n + i, x) for i, (c, x) in enumerate(part)]
+        n += len(rows)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        for c, x in part:
+            want[c] = 0.85 * want.get(c, 0.5) + 0.15 * (1.0 if x is None else x)
+        stream()
+        got = U.current(spark, at, "chunk_id long, utility_ema double, use_count long").collect()
+        assert len(got) == len(want) and all(abs(r.utility_ema - want[r.chunk_id]) < 1e-9 for r in got)
+
+
+def test_background_cycles(spark, tmp_path):
+    import time
+
+    from tessera.streaming import utility as U
+
+    runs = []
+
+    def cycle(n):
+        runs.append(n)
+        if n == 0:
+            raise ValueError("the first one fails")
+
+    q = U.background(spark, cycle, "1 second", str(tmp_path / "progress"))
+    began = time.time()
+    while len(runs) < 2 and time.time() - began < 60:
+        time.sleep(0.2)
+    q.stop()
+    assert len(runs) >= 2
+
+
+def test_model_answers_are_used(spark):
+    from tessera.operators import model_steps as M
+    from tessera.providers import Provider
+
+    class Says(Provider):
+        def __init__(self, text):
+            self.text = text
+
+        def complete(self, prompt, system="", max_tokens=2000):
+            return self.text
+
+    q = spark.createDataFrame([(1, "what is x")], "query_id long, query_text string")
+    r = M.routed_by_model(q, Says('{"query_type": "multi_hop", "confidence": 0.9}')).first()
+    assert (r.query_type, r.strategy, r.confidence) == ("multi_hop", "multi_hop", 0.9)
+    assert M.routed_by_model(q, Says('{"query_type": "odd"}')).first().query_type == "specific_factoid"
+    subs = M.decomposed(q, Says('{"sub_queries": [{"query": "a"}, {"query": "b", "depends_on": 0}]}')).orderBy("pos").collect()
+    assert [s.query for s in subs] == ["a", "b"]
+    rows = spark.createDataFrame([(1, "q", i, f"text {i}", i) for i in range(1, 4)], "query_id long, query_text string, id long, content string, rank int")
+    assert [(r.id, r["rank"]) for r in M.passages_ranked(rows, Says("[2, 9, 0]"), 5).orderBy("rank").collect()] == [(3, 1), (1, 2)]
+    assert M.graded_by_model(rows, Says("9")).first().level == "correct"
+    known = spark.createDataFrame([("c", "Old", 7)], "collection string, name string, id long")
+    chunks = spark.createDataFrame([(1, "c", "text")], "id long, collection string, content string")
+    none = spark.createDataFrame([], "chunk_id long")
+    says = Says('{"entities": [{"name": "New"}], "relationships": [{"source": "New", "target": "Old"}]}')
+    assert [r.target_id for r in M.extract_graph(chunks, none, says, known)[2].collect()] == [7]
+    assert sum(c["relations"] for *_, c in M.extract_in_batches(chunks, none, says, 2, known)) == 1
+
+
+def test_pipeline_goes_the_way_it_logs(spark):
+    from tessera.plans.pipeline import Corpus, run_queries
+
+    v = [[1.0, 0.0], [0.0, 1.0], [0.7, 0.7]]
+    chunks = spark.createDataFrame([(i, f"overview of pump text {i}", v[i % 3]) for i in range(6)], "id long, content string, embedding array<float>")
+    none = spark.createDataFrame([], "chunk_id long, utility_ema double")
+    links, parents = spark.createDataFrame([(0, 9)], "chunk_id long, parent_id long"), spark.createDataFrame([(9, "whole")], "id long, content string")
+    communities = spark.createDataFrame([(4, "overview of pump text", [1.0, 0.0])], "id long, summary string, summary_embedding array<float>")
+    q = spark.createDataFrame([(1, "overview of pump", [1.0, 0.0]), (2, "what is pump", [0.0, 1.0])], "query_id long, query_text string, query_vec array<float>")
+    out = run_queries(q, Corpus(chunks, none, links, parents, communities=communities))
+    assert {r.query_id: r.strategy for r in out["log"].collect()} == {1: "kg_global", 2: "hybrid"}
+    ids = {(r.query_id, r.id) for r in out["results"].collect()}
+    assert (1, -9) in ids and not any(i < 0 for n, i in ids if n == 2)
+    assert {r.query_id: r.strategy for r in run_queries(q, Corpus(chunks, none, links, parents))["log"].collect()} == {1: "hybrid", 2: "hybrid"}
+
+
+def test_vector_search_in_blocks(spark, monkeypatch):
+    from tessera.operators import retrieval as R
+
+    rng = np.random.RandomState(2)
+    df = spark.createDataFrame([(i, rng.rand(8).tolist()) for i in range(300)] + [(300, rng.rand(5).tolist())], "id long, embedding array<double>")
+    q = df.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    want = {(r.query_id, r.id, r["rank"]) for r in R.vector_search(q, df, 4).collect()}
+    monkeypatch.setattr(R, "MAX_BROADCAST_QUERIES", 10)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 64)
+    assert {(r.query_id, r.id, r["rank"]) for r in R.vector_search(q, df, 4).collect()} == want
