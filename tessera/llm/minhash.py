@@ -163,9 +163,9 @@ def _confirmed(batches):
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. a's text goes once to each part of its pairs; texts are never broadcast."""
     spark = pairs.sparkSession
-    large = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > PART)
-    parts = F.coalesce(F.ceil(F.col("n") / PART), F.lit(1)).cast("int")
-    dealt = pairs.join(large, "a", "left").select("a", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"), "b")
+    large = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > PART).select("a", F.ceil(F.col("n") / PART).cast("int").alias("parts"), "n")
+    known = lookup(pairs.select("a", "b"), materialise(large, "large-hubs"), "a", "n")
+    dealt = known.select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "b")
     others = dealt.join(texts.select(F.col("doc_id").alias("b"), "text").hint("merge"), "b").select("a", "part", "b", "text")
     hubs = dealt.select("a", "part").distinct().join(texts.select(F.col("doc_id").alias("a"), "text").hint("merge"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     rows = hubs.unionByName(others).repartition(shuffle_partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
