@@ -46,7 +46,7 @@ _BLOCK = 16_384
 #: Members that tell a bucket's most central one, and bits of the sketch that tells rare shingles.
 PROBES, SKETCH_BITS = 32, 17
 #: Members of a bucket of which the central one is chosen, pairs of a hub in one part, and texts in a block.
-CHOICE, PART, BLOCK_ROWS = 256, 512, 1000
+CHOICE, PART, BLOCK_ROWS = 256, 128, 1000
 
 
 def shingles(text: str | None) -> np.ndarray:
