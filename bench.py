@@ -19,6 +19,36 @@ HEADLINE = [
 ]
 
 
+def duckdb_seconds(sf_dir: str, cpus: int) -> dict[str, float | None]:
+    """The same queries as SQL in DuckDB on the same files; the second run, null where there is no SQL or it takes over a minute."""
+    import threading
+
+    import duckdb
+
+    from tessera.plans.catalogue import SQL
+
+    took: dict[str, float | None] = {}
+    for name in HEADLINE:
+        con = duckdb.connect(config={"threads": cpus})
+        for f in sorted(Path(sf_dir).glob("*.parquet")):
+            con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}{'/*.parquet' if f.is_dir() else ''}'")
+        took[name] = None
+        if name in SQL:
+            try:
+                for _ in range(2):
+                    stop = threading.Timer(60, con.interrupt)
+                    stop.start()
+                    began = time.time()
+                    con.execute(f"CREATE OR REPLACE TEMP TABLE result AS {SQL[name]}")
+                    stop.cancel()
+                took[name] = round(time.time() - began, 3)
+            except duckdb.Error as e:
+                print(f"{name}: {str(e)[:100]}", file=sys.stderr)
+            finally:
+                stop.cancel()
+    return took
+
+
 def main() -> None:
     from tessera import get_session
     from tessera.plans.catalogue import QUERIES
@@ -34,7 +64,8 @@ def main() -> None:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.time() - began)
         took[name] = round(statistics.median(times[1:]), 3)
-    print(json.dumps({"metric": "headline queries, median warm run, sum", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": Path(sf_dir).name.removeprefix("sf")}))
+    other = {"duckdb": duckdb_seconds(sf_dir, int(cpus))} if os.environ.get("BENCH_DUCKDB") else {}
+    print(json.dumps(other | {"metric": "headline queries, median warm run, sum", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": Path(sf_dir).name.removeprefix("sf")}))
 
 
 if __name__ == "__main__":

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,44 +37,81 @@ def small(df: DataFrame, most: int = MAX_BROADCAST_QUERIES) -> DataFrame:
 QUERY_BLOCK = 4096
 
 
-def _blocked(queries: DataFrame, corpus: DataFrame, k: int, digits: int) -> DataFrame:
-    """Any number of queries: blocks of them, one task's corpus rows at a time as a matrix product; each task keeps k rows a query."""
+def _best(query_ids: list, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, digits: int) -> list[tuple]:
+    """(query, id, score) of the k best ids of each query, by score and then id; a matrix product for some queries at a time."""
+    out = []
+    for i in range(0, len(queries), 256):
+        scores = np.round(queries[i : i + 256] @ vectors.T, digits)
+        for query, row in zip(query_ids[i : i + 256], scores):
+            at = np.arange(len(ids)) if len(ids) <= k else np.flatnonzero(row >= np.partition(row, len(ids) - k)[len(ids) - k])
+            at = at[np.lexsort((ids[at], -row[at]))[:k]]
+            out += [(query, ids[j].item() if hasattr(ids[j], "item") else ids[j], float(row[j])) for j in at]
+    return out
+
+
+def _by_length(ids: list, vectors: list) -> dict[int, tuple[list, np.ndarray]]:
+    """Vectors of each length as a matrix, with their ids."""
+    found: dict[int, tuple[list, list]] = {}
+    for x, v in zip(ids, vectors):
+        if v is not None:
+            of = found.setdefault(len(v), ([], []))
+            of[0].append(x)
+            of[1].append(v)
+    return {n: (x, np.array(v, np.float64)) for n, (x, v) in found.items() if n}
+
+
+def _beside(queries: pa.Table, corpus: DataFrame, k: int, digits: int, schema: str) -> DataFrame:
+    """The corpus in Arrow batches beside a bounded table of queries; each batch keeps k rows a query."""
+    asked = corpus.sparkSession.sparkContext.broadcast(_by_length(queries["query_id"].to_pylist(), queries["_q"].to_pylist()))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            ids, lists = b.column(0), b.column(1)
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            if len(lengths) and lists.null_count == 0 and (lengths == lengths[0]).all():  # nearly always
+                of = {int(lengths[0]): (ids.to_pylist(), values.reshape(len(lengths), -1))}
+            else:
+                of = _by_length(ids.to_pylist(), lists.to_pylist())
+            for n, (here, vectors) in of.items():
+                if n in asked.value:
+                    rows += _best(*asked.value[n], np.array(here), vectors, k, digits)
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], queries.schema.field("query_id").type), pa.array(cols[1], b.schema.field(0).type), pa.array(cols[2], pa.float64())], names=["query_id", "id", "score"])
+
+    return corpus.mapInArrow(run, schema)
+
+
+def _blocked(queries: DataFrame, corpus: DataFrame, k: int, digits: int, schema: str) -> DataFrame:
+    """Any number of queries: blocks of them meet parts of the corpus; each pair of a block and a part keeps k rows a query."""
     spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    q = queries.select("query_id", F.col("_q").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = q.select("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), "v")
-    held = corpus.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("part"), F.lit(False).alias("asks"), "id", F.col("_v").alias("v"))
-
-    def best(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for dims, rows in pdf.groupby(pdf["v"].map(len)):
-            qs, cs = rows[rows["asks"]], rows[~rows["asks"]]
-            if not len(qs) or not len(cs):
-                continue
-            of, ids = np.stack(cs["v"].to_numpy()), cs["id"].to_numpy()
-            for i in range(0, len(qs), 256):
-                part = qs.iloc[i : i + 256]
-                score = np.round(np.stack(part["v"].to_numpy()) @ of.T, digits)
-                for query, row in zip(part["id"], score):
-                    at = np.lexsort((ids, -row))[:k]
-                    out.append(pd.DataFrame({"query_id": query, "id": ids[at], "score": row[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    return asked.unionByName(held).groupBy("block", "part").applyInPandas(best, "query_id long, id long, score double")
+    block, part = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part")
+    asked = queries.select(block, part, "query_id", F.col("_q").alias("v")).groupBy("block", "part")
+    held = corpus.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("part"), "id", F.col("_v").alias("v")).groupBy("block", "part")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows, of = [], _by_length(right["id"].tolist(), right["v"].tolist())
+        for n, (ids, vectors) in _by_length(left["query_id"].tolist(), left["v"].tolist()).items():
+            if n in of:
+                rows += _best(ids, vectors, np.array(of[n][0]), of[n][1], k, digits)
+        return pd.DataFrame(rows, columns=["query_id", "id", "score"])
+
+    return asked.cogroup(held).applyInPandas(best, schema)
 
 
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str = "id", score_digits: int = 6) -> DataFrame:
     """queries: query_id, query_vec; corpus: id_col, embedding and filter columns -> query_id, id, score, rank.
 
-    The corpus is scanned once with all queries (a stated query set) beside it; more than MAX_BROADCAST_QUERIES of them are dealt to
-    blocks."""
-    q = queries.select("query_id", V.unit(V.as_double(F.col("query_vec"))).alias("_q"))
-    c = corpus.filter(F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), V.unit(V.as_double(F.col("embedding"))).alias("_v"))
-    if queries.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES:
-        pairs = c.join(F.broadcast(q), F.size("_q") == F.size("_v")).select("query_id", "id", F.round(V.dot(F.col("_q"), F.col("_v")), score_digits).alias("score"))
-    else:
-        pairs = _blocked(q.filter("_q IS NOT NULL"), c, k, score_digits)
+    The corpus is scanned once with all queries (a stated query set, MAX_BROADCAST_QUERIES of them at most) beside it; more of them are
+    dealt to blocks."""
+    q = queries.select("query_id", V.unit(V.as_double(F.col("query_vec"))).alias("_q")).filter("_q IS NOT NULL")
+    c = corpus.filter(F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), V.unit(V.as_double(F.col("embedding"))).alias("_v")).filter("_v IS NOT NULL")
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {c.schema['id'].dataType.simpleString()}, score double"
+    first = q.limit(MAX_BROADCAST_QUERIES + 1).toArrow()
+    pairs = _beside(first, c, k, score_digits, schema) if first.num_rows <= MAX_BROADCAST_QUERIES else _blocked(q, c, k, score_digits, schema)
     return top_k(pairs, [F.desc("score"), F.asc("id")], k, keys=["query_id"])
 
 
