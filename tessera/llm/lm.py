@@ -71,7 +71,8 @@ class EliasFano:
         bits[high + np.arange(n)] = 1
         words = np.packbits(bits, bitorder="little").view(np.uint64)
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
-        self.levels = {"high": words, "ones": ones.astype(np.uint32 if n < 1 << 31 else np.uint64), "low": self._pack(v)}
+        small = np.uint32 if 64 * len(words) < 1 << 32 else np.uint64
+        self.levels = {"high": words, "ones": ones.astype(small), "zeros": (np.arange(len(ones)) * 64 - ones).astype(small), "low": self._pack(v)}
 
     def _pack(self, v: np.ndarray) -> np.ndarray:
         b = self.low_bits
@@ -100,23 +101,39 @@ class EliasFano:
 
     @staticmethod
     def _select_in(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Position of the k-th one of each word."""
-        by = words.view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(by), axis=1, dtype=np.int64)
-        byte = (upto <= k[:, None]).sum(axis=1)
-        rows = np.arange(len(words))
-        k = k - np.where(byte > 0, upto[rows, byte - 1], 0)
-        return byte * 8 + _SELECT[by[rows, byte], k]
+        """Position of the k-th one of each word: a product adds up the ones of its bytes, a table has the place within a byte."""
+        upto = words - (words >> np.uint64(1) & _FIVES)
+        upto = (upto & _THREES) + (upto >> np.uint64(2) & _THREES)
+        upto = (upto + (upto >> np.uint64(4)) & _FIFTEENS) * _EACH  # byte i: ones in bytes 0 to i
+        k = k.astype(np.uint64)
+        at = np.bitwise_count((k * _EACH | _TOPS) - upto & _TOPS).astype(np.uint64) << np.uint64(3)  # bytes that end before the k-th one
+        k -= (upto << np.uint64(8)) >> at & np.uint64(255)
+        return (at + _SELECT[(words >> at & np.uint64(255)) << np.uint64(3) | k]).astype(np.int64)
 
     def _select(self, k: np.ndarray, zeros: bool) -> np.ndarray:
-        high, ones = self.levels["high"], self.levels["ones"].astype(np.int64)
-        seen = np.arange(len(ones), dtype=np.int64) * 64 - ones if zeros else ones
-        word = np.searchsorted(seen, k, side="right") - 1
+        high, seen = self.levels["high"], self.levels["zeros" if zeros else "ones"]
+        word = np.searchsorted(seen, k.astype(seen.dtype), side="right") - 1
         return word * 64 + self._select_in(~high[word] if zeros else high[word], k - seen[word])
 
+    def _after(self, at: np.ndarray, k: np.ndarray, zeros: bool) -> np.ndarray:
+        """As _select, for k-th ones that are the first from position at: most lie in its word."""
+        rest = self.levels["high"][at >> 6]
+        rest = (~rest if zeros else rest) >> (at & 63).astype(np.uint64)
+        out = at + np.bitwise_count(~rest & rest - np.uint64(1))
+        beyond = np.flatnonzero(rest == 0)
+        out[beyond] = self._select(k[beyond], zeros)
+        return out
+
     def get(self, i: np.ndarray) -> np.ndarray:
-        high = (self._select(i, False) - i).astype(np.uint64)
-        return high << np.uint64(self.low_bits) | self.low(i)
+        return self._value(self._select(i, False), i)
+
+    def _value(self, at: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return (at - i).astype(np.uint64) << np.uint64(self.low_bits) | self.low(i)
+
+    def get_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """get(i) and get(i + 1)."""
+        at = self._select(i, False)
+        return self._value(at, i), self._value(self._after(at + 1, i + 1, False), i + 1)
 
     def find(self, values: np.ndarray, start: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
         """Index of each value, -1 where it is not there: successor search among those with its high bits (and within start, stop)."""
@@ -127,8 +144,8 @@ class EliasFano:
         high = (v >> np.uint64(self.low_bits)).astype(np.int64)
         fits = high < self.buckets - 1
         high = np.where(fits, high, 0)
-        hi = self._select(high, True) - high
-        lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), True) - (high - 1), 0)
+        at = np.where(high > 0, self._select(np.maximum(high - 1, 0), True) + 1, 0)
+        lo, hi = at - high, self._after(at, high, True) - high
         if start is not None:
             lo, hi = np.maximum(lo, start), np.minimum(hi, stop)
         end, low = hi.copy(), v & np.uint64((1 << self.low_bits) - 1)
@@ -146,7 +163,9 @@ class EliasFano:
 
 
 #: Position of the k-th one of a byte.
-_SELECT = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8)] for b in range(256)], np.int64)
+_SELECT = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for b in range(256) for k in range(8)], np.uint8)
+#: Each byte of a word: 1, 0x80, and masks of every other one, two and four bits.
+_EACH, _TOPS, _FIVES, _THREES, _FIFTEENS = (np.uint64(0x0101010101010101 * x) for x in (1, 0x80, 0x55, 0x33, 0x0F))
 
 
 def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,13 +182,15 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Level:
     """Sorted children of sorted parents: (parent, child) with pointers, both given by index of the parent and child's number."""
 
-    def __init__(self, parents: int, parent: np.ndarray, child: np.ndarray):
-        names = np.unique(child)
+    def __init__(self, parents: int, parent: np.ndarray, names: np.ndarray, which: np.ndarray):
+        """Children are names[which]; names are sorted and may have others too."""
+        there = np.zeros(len(names), bool)
+        there[which] = True
+        names, rank = names[there], np.cumsum(there) - 1
         self.names = EliasFano(names, (int(names[-1]) if len(names) else 0) + 1)
         self.span = len(names)
-        ranked = np.searchsorted(names, child).astype(np.uint64) + parent.astype(np.uint64) * np.uint64(self.span)
-        self.children = EliasFano(ranked, max(1, parents * self.span))
-        self.pointers = EliasFano(np.searchsorted(parent, np.arange(parents + 1)), len(parent) + 1)
+        self.children = EliasFano(rank[which] + parent * self.span, max(1, parents * self.span))
+        self.pointers = EliasFano(np.concatenate([[0], np.cumsum(np.bincount(parent, minlength=parents))]), len(parent) + 1)
 
     def parts(self) -> list[EliasFano]:
         return [self.names, self.children, self.pointers]
@@ -180,10 +201,12 @@ class Level:
         out = np.full(len(which), -1, np.int64)
         name = self.names.find(names)[which]
         ok = np.flatnonzero((name >= 0) & (parent >= 0))
-        for i in range(0, len(ok), 1 << 18):
-            at = ok[i : i + (1 << 18)]
+        for i in range(0, len(ok), 1 << 16):
+            at = ok[i : i + (1 << 16)]
             of = parent[at]
-            start, stop = self.pointers.get(of).astype(np.int64), self.pointers.get(of + 1).astype(np.int64)
+            new = np.concatenate([[True], of[1:] != of[:-1]])
+            run = np.cumsum(new) - 1  # neighbours mostly share their parent
+            start, stop = (x.astype(np.int64)[run] for x in self.pointers.get_two(of[new]))
             out[at] = self.children.find(name[at].astype(np.uint64) + of.astype(np.uint64) * np.uint64(self.span), start, stop)
         return out
 
@@ -192,10 +215,10 @@ class Trie:
     """context (64 bits) -> word (41 bits) -> word before (41 bits). A pair has its quantised log10 p(w | v) and the weight that
     it gives to what follows it, -log10(c + MU3); a triple its quantised log10 numerator; a context its back-off weight."""
 
-    def __init__(self, contexts, log_backoff, pair_context, pair_word, log_p, weight, triple_pair, triple_word, log_t):
-        """contexts, pairs (index of a context, word) and triples (index of a pair, word) are sorted."""
+    def __init__(self, contexts, log_backoff, pair_context, words, pair_word, log_p, weight, triple_pair, us, triple_word, log_t):
+        """contexts, pairs (index of a context, of one of words) and triples (index of a pair, of one of us) are sorted."""
         self.contexts = EliasFano(contexts, int(contexts[-1]) + 1 if len(contexts) else 1)
-        self.pairs, self.triples = Level(len(contexts), pair_context, pair_word), Level(len(pair_word), triple_pair, triple_word)
+        self.pairs, self.triples = Level(len(contexts), pair_context, words, pair_word), Level(len(pair_word), triple_pair, us, triple_word)
         self.backoff, self.backoff_values = quantised(log_backoff)
         self.p, self.p_values = quantised(log_p)
         self.weight, self.weight_values = quantised(weight)
@@ -265,33 +288,76 @@ def _words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarra
     return data, starts, ends, hashes, np.diff(np.searchsorted(starts, bounds), prepend=0)
 
 
-def _spelling_cells(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of the words and each word's end: the cell (hash of the two bytes before, byte); and where words start."""
-    data = np.frombuffer(b"  " + b"  ".join(words) + b" ", np.uint8).astype(np.int64)
-    cells = ((data[:-2] * 40503 + data[1:-1] * 30011) >> 3) % ROWS * 256 + data[2:]
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.cumsum(lengths + 1) - lengths - 1
-    inside = np.ones(len(cells), bool)
-    inside[starts[1:] - 1] = False  # the second space between two words
-    return cells[inside], np.cumsum(lengths) - lengths
+def _coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, in the order in which they come, and the index of each; by a hash table, as words come again often."""
+    found = pa.array(x).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
+def _first(token: np.ndarray) -> np.ndarray:
+    """Where each of _coded()'s values comes first."""
+    return np.flatnonzero(np.diff(np.maximum.accumulate(token), prepend=-1))
+
+
+def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and the index of each."""
+    values, at = _coded(x)
+    order = np.argsort(values)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return values[order], rank[at]
+
+
+def _distinct(x: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _ranked, for integers from 0 to below limit of which most come once: value and place are sorted as one number if they fit."""
+    bits = len(x).bit_length()
+    if limit << bits > 1 << 63:
+        return _ranked(x)
+    x = x.astype(np.int64) << bits
+    x |= np.arange(len(x))
+    x.sort()
+    at = x & ((1 << bits) - 1)
+    x >>= bits
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    index = np.empty(len(x), np.int32)
+    index[at] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], index
+
+
+def _spelling_cells(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of the words and each word's end, a space: the cell (hash of the two bytes before, byte); and where words start."""
+    lengths = ends - starts + 1
+    first = np.cumsum(lengths) - lengths
+    at = np.arange(lengths.sum()) + np.repeat(starts - first, lengths)
+    spelled = np.frombuffer(data + b" ", np.uint8)[at].astype(np.int32)
+    spelled[first + lengths - 1] = 32
+    before, second = np.full_like(spelled, 32), np.full_like(spelled, 32)
+    before[1:], second[2:] = spelled[:-1], spelled[:-2]
+    second[first] = 32  # two spaces come before a word
+    return ((second * 40503 + before * 30011) >> 3) % ROWS * 256 + spelled, first
 
 
 def _counted(batches):
-    """kind 0: word hash and count in training rows; kind 1: spelling cell and count, each word once a flush; kind 2: tokens, and
-    all tokens at x = 1, training documents at x = 2."""
+    """kind 0: word hash and count in training rows; kind 1: spelling cell and count, each word once a flush, in one batch at the end;
+    kind 2: tokens, and all tokens at x = 1, training documents at x = 2."""
+
+    def batch(kinds, xs, ns):
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(kinds, [len(x) for x in xs]), pa.int32()), pa.array(np.concatenate(xs).astype(np.int64)), pa.array(np.concatenate(ns).astype(np.int64))], names=["kind", "x", "n"])
+
+    spelled = np.zeros(ROWS * 256, np.int64)
     for ids, held, texts in _flushes(batches):
         data, starts, ends, hashes, n_words = _words(texts)
         n_all, train = len(ids) + len(hashes), np.repeat(~held, n_words)
         starts, ends, hashes = starts[train], ends[train], hashes[train]
-        kinds, xs, ns = [np.full(3, 2)], [np.array([0, 1, 2])], [np.array([len(hashes) + int((~held).sum()), n_all, int((~held).sum())])]
-        if len(hashes):
-            uniq, first, n = np.unique(hashes, return_index=True, return_counts=True)
-            spelled = np.bincount(_spelling_cells([data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])[0])
-            cells = np.flatnonzero(spelled)
-            kinds += [np.zeros(len(uniq)), np.ones(len(cells))]
-            xs += [uniq.view(np.int64), cells]
-            ns += [n, spelled[cells]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds).astype(np.int32)), pa.array(np.concatenate(xs).astype(np.int64)), pa.array(np.concatenate(ns).astype(np.int64))], names=["kind", "x", "n"])
+        words, token = _coded(hashes)
+        first = _first(token)
+        if len(words):
+            spelled += np.bincount(_spelling_cells(data, starts[first], ends[first])[0], minlength=len(spelled))
+        yield batch([2, 0], [np.array([0, 1, 2]), words.view(np.int64)], [np.array([len(hashes) + int((~held).sum()), n_all, int((~held).sum())]), np.bincount(token, minlength=len(words))])
+    cells = np.flatnonzero(spelled)
+    if len(cells):
+        yield batch([1], [cells], [spelled[cells]])
 
 
 class Vocabulary:
@@ -319,11 +385,13 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, at, -1)
 
     def rare(self, hashes: np.ndarray) -> np.ndarray:
-        """Whether codes() is -1; a table of low bits settles most of them."""
-        maybe = np.zeros(1 << 24, bool)
-        maybe[(self.hashes & np.uint64((1 << 24) - 1)).astype(np.int64)] = True
-        out = ~maybe[(hashes & np.uint64((1 << 24) - 1)).astype(np.int64)]
-        at = np.flatnonzero(~out)
+        """Whether codes() is -1; a table by low bits settles most of them."""
+        low = np.uint64((1 << 22) - 1)
+        place = np.full(1 << 22, -1, np.int32)
+        place[(self.hashes & low).astype(np.int64)] = np.arange(len(self.hashes), dtype=np.int32)
+        found = place[(hashes & low).astype(np.int64)]
+        out = (found < 0) | (self.hashes[found] != hashes)
+        at = np.flatnonzero(out & (found >= 0))  # another word has the place
         out[at] = self.codes(hashes[at]) < 0
         return out
 
@@ -331,11 +399,11 @@ class Vocabulary:
         """log10 p0 of words with these training counts."""
         return np.log10(n / self.tokens * (1 - self.rest))
 
-    def spelled(self, words: list[bytes]) -> np.ndarray:
+    def spelled(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """log10 p0 of words without a training count, in steps."""
-        if not words:
+        if not len(starts):
             return np.zeros(0, np.uint8)
-        cells, starts = _spelling_cells(words)
+        cells, starts = _spelling_cells(data, starts, ends)
         p = self.rest / 2 * (self.even + 10.0 ** np.add.reduceat(self.spelling[cells].astype(np.float64), starts))
         return np.clip(np.rint(-np.log10(p) / STEP), 0, 255).astype(np.uint8)  # the even part is far above the last step
 
@@ -381,20 +449,21 @@ def _joined(parts, bits: int) -> np.ndarray:
 
 def _own_shard(x: np.ndarray, shards: int) -> np.ndarray:
     """By the high bits: the low ones (_LOW) tell the words of a shard apart."""
-    return ((x >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+    return ((x >> np.uint64(40)).astype(np.uint32) % np.uint32(shards)).astype(np.int32)
 
 
 def _tokens(hashes: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct hashes, then those that stand for a text's end and start; first place of each distinct word; and of each token (ends
     of texts are tokens) the index of its word, of its context and of the word before that."""
-    uniq, first, token = np.unique(hashes, return_index=True, return_inverse=True)
-    token = np.insert(token, np.cumsum(n_words), len(uniq))
-    before = np.concatenate([[len(uniq) + 1], token[:-1]])
+    uniq, words = _coded(hashes)
+    token = np.insert(words, np.cumsum(n_words), len(uniq))
     starts = np.cumsum(n_words + 1)[:-1]
+    before, second = np.full_like(token, len(uniq) + 1), np.full_like(token, len(uniq) + 1)
+    before[1:] = token[:-1]
     before[starts] = len(uniq) + 1
-    second = np.concatenate([[len(uniq) + 1], before[:-1]])
+    second[1:] = before[:-1]
     second[starts] = len(uniq) + 1
-    return np.concatenate([uniq, np.array([END_HASH, START_HASH], np.uint64)]), first, token, before, second
+    return np.concatenate([uniq, np.array([END_HASH, START_HASH], np.uint64)]), _first(words), token, before, second
 
 
 def _wanted(vocab, shards: int):
@@ -424,24 +493,6 @@ def _requests(vocab, shards: int):
     """Blobs by shard: (document in the flush, word before the context, context, word) of each token; and one row with the flush's
     documents."""
 
-    def blob(doc, train, context, code_c, word, code_w, p0, second, code_s):
-        """Four groups, as context and word are frequent or not: three bytes for a frequent one, eight for another context, five and
-        the spelling probability for another word; a bit and as many bytes for the word before."""
-        parts = []
-        for fc in (True, False):
-            for fw in (True, False):
-                at = np.flatnonzero(((code_c >= 0) == fc) & ((code_w >= 0) == fw))
-                d = doc[at]
-                parts += [np.diff(d, prepend=0).astype(np.uint32), np.packbits(train[at])]
-                parts += _low_high(code_c[at], 16) if fc else [context[at]]
-                if fw:
-                    parts += _low_high(code_w[at], 16)
-                else:
-                    parts += [*_low_high(word[at] & np.uint64(_LOW), 32), p0[at]]
-                known = code_s[at] >= 0
-                parts += [np.packbits(known), *_low_high(code_s[at[known]], 16), *_low_high(second[at[~known]] & np.uint64(_LOW), 32)]
-        return _pack(*parts)
-
     def run(batches):
         part = TaskContext.get().partitionId()
         for seq, (doc_ids, held, texts) in enumerate(_flushes(batches)):
@@ -449,22 +500,42 @@ def _requests(vocab, shards: int):
             data, starts, ends, hashes, n_words = _words(texts)
             lengths = n_words + 1
             of_hash, first, token, before, second = _tokens(hashes, n_words)
-            of_code = vocab.value.codes(of_hash)
+            of_code = vocab.value.codes(of_hash).astype(np.int32)
             of_p0 = np.zeros(len(of_hash), np.uint8)
-            doc = np.repeat(np.arange(len(doc_ids)), lengths)
+            doc = np.repeat(np.arange(len(doc_ids), dtype=np.int32), lengths)
+            train = ~held[doc]
             trained = np.zeros(len(of_hash), bool)
-            trained[token[~held[doc]]] = True
+            trained[token[train]] = True
             # the shard has the count of a word in training texts, so its spelling isn't asked for
             other = np.flatnonzero((of_code < 0) & ~trained)
-            of_p0[other] = vocab.value.spelled([data[s:e] for s, e in zip(starts[first[other]].tolist(), ends[first[other]].tolist())])
-            hashes, context, code_w, code_c, p0 = of_hash[token], of_hash[before], of_code[token], of_code[before], of_p0[token]
-            train = ~held[doc]
-            del data, texts, token, before
-            mixed = np.where(code_c < 0, context, np.where(code_w < 0, hashes, (context ^ (hashes >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)))
-            shard = _own_shard(mixed, shards)
-            order = np.argsort(shard, kind="stable")
-            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-            out = [(flush, s, None, blob(doc[i], train[i], context[i], code_c[i], hashes[i], code_w[i], p0[i], of_hash[second[i]], of_code[second[i]])) for s in range(shards) if len(i := order[bounds[s] : bounds[s + 1]])]
+            of_p0[other] = vocab.value.spelled(data, starts[first[other]], ends[first[other]])
+            of_rare, of_low, of_own = of_code < 0, of_hash & np.uint64(_LOW), _own_shard(of_hash, shards)
+            rare_c, rare_w = of_rare[before], of_rare[token]
+            both = (of_hash[before] ^ (of_hash >> np.uint64(7))[token]) * np.uint64(0x9E3779B97F4A7C15)
+            shard = np.where(rare_c, of_own[before], np.where(rare_w, of_own[token], _own_shard(both, shards)))
+            group = shard * 4 + rare_c * 2 + rare_w
+            del data, texts, starts, ends, hashes, both, rare_c, rare_w, shard
+            # few distinct numbers: two bytes are sorted by counting
+            order = np.argsort(group.astype(np.uint16) if 4 * shards <= 1 << 16 else group, kind="stable")
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=4 * shards))])
+            token, before, second, doc, train = token[order], before[order], second[order], doc[order], train[order]
+            del group, order
+
+            def blob(shard):
+                """Four groups, as context and word are frequent or not: three bytes for a frequent one, eight for another context, five and
+                the spelling probability for another word; a bit and as many bytes for the word before."""
+                parts = []
+                for i in range(4 * shard, 4 * shard + 4):
+                    at = slice(bounds[i], bounds[i + 1])
+                    word, context, two = token[at], before[at], second[at]
+                    parts += [np.diff(doc[at], prepend=0).astype(np.uint32), np.packbits(train[at])]
+                    parts += [of_hash[context]] if i & 2 else _low_high(of_code[context], 16)
+                    parts += [*_low_high(of_low[word], 32), of_p0[word]] if i & 1 else _low_high(of_code[word], 16)
+                    known = ~of_rare[two]
+                    parts += [np.packbits(known), *_low_high(of_code[two[known]], 16), *_low_high(of_low[two[~known]], 32)]
+                return _pack(*parts)
+
+            out = [(flush, s, None, blob(s)) for s in np.flatnonzero(bounds[4::4] > bounds[:-4:4]).tolist()]
             meta = [(flush, int(flush % shards), doc_ids, _pack(lengths, held.astype(np.uint8)))]
             cols = list(zip(*out, *meta))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=["flush", "shard", "ids", "data"])
@@ -517,16 +588,18 @@ def _scored(vocab):
         if blobs:
             which, doc, context, word, p0, train, second = (np.concatenate(x) for x in (which, docs, contexts, words, p0s, trains, seconds))
             docs = contexts = words = p0s = trains = seconds = None
-            contexts, c = np.unique(context, return_inverse=True)
-            words, w_first, w = np.unique(word, return_index=True, return_inverse=True)
-            p0 = p0[w_first].astype(np.float64)  # of each word from here on
-            del context, word
-            counts = np.bincount(c[train], minlength=len(contexts))
-            pairs, pair = np.unique(c * len(words) + w, return_inverse=True)
-            c, pair = c.astype(np.int32), pair.astype(np.int32)
+            (contexts, c), (words, w), (us, u) = _ranked(context), _ranked(word), _ranked(second)
+            word_p0 = np.empty(len(words))
+            word_p0[w], p0 = p0, word_p0  # of each word from here on
+            del context, word, second
+            pairs, pair = _distinct(c.astype(np.int64) * len(words) + w, len(contexts) * len(words))
             del w
-            pair_c, pair_w = pairs // len(words), pairs % len(words)
-            seen = np.bincount(pair[train], minlength=len(pairs))
+            triples, triple = _distinct(pair.astype(np.int64) * len(us) + u, len(pairs) * len(us))
+            del pair, u
+            (pair_c, pair_w), (triple_pair, triple_u) = np.divmod(pairs, len(words)), np.divmod(triples, len(us))
+            times = np.bincount(triple[train], minlength=len(triples))
+            seen = np.bincount(triple_pair, times, len(pairs)).astype(np.int64)
+            counts = np.bincount(pair_c, seen, len(contexts)).astype(np.int64)
             code = v.codes(contexts)
             counts = np.where(code >= 0, v.counts[np.maximum(code, 0)], counts)
             # words of which this is the own shard were counted as contexts
@@ -537,27 +610,21 @@ def _scored(vocab):
                 at = np.minimum(np.searchsorted(known_word, words), len(known_word) - 1)
                 hit = np.flatnonzero(known_word[at] == words)
                 p0[hit] = v.counted(known_n[at[hit]])
-            triples, triple = np.unique(pair.astype(np.uint64) << np.uint64(41) | second, return_inverse=True)
-            triple = triple.astype(np.int32)
-            del second
-            triple_pair, triple_u = (triples >> np.uint64(41)).astype(np.int64), triples & np.uint64((1 << 41) - 1)
-            times = np.bincount(triple[train], minlength=len(triples))
             in_trie, of_pair = np.flatnonzero(counts > 0), np.flatnonzero(seen)
             log_p = np.log10((seen[of_pair] + MU * 10.0 ** p0[pair_w[of_pair]]) / (counts[pair_c[of_pair]] + MU))
             of_triple = np.flatnonzero(times)
-            at = np.searchsorted(of_pair, triple_pair[of_triple])
+            at = (np.cumsum(seen > 0) - 1)[triple_pair[of_triple]]
             log_t = np.log10(times[of_triple] + MU3 * 10.0 ** log_p[at])
             trie = Trie(
-                contexts[in_trie], np.log10(MU / (counts[in_trie] + MU)), np.searchsorted(in_trie, pair_c[of_pair]), words[pair_w[of_pair]], log_p, -np.log10(seen[of_pair] + MU3), at, triple_u[of_triple], log_t
+                contexts[in_trie], np.log10(MU / (counts[in_trie] + MU)), (np.cumsum(counts > 0) - 1)[pair_c[of_pair]], words, pair_w[of_pair], log_p, -np.log10(seen[of_pair] + MU3), at, us, triple_u[of_triple], log_t
             )
             index, log_p, weight = trie.query(contexts, words, pair_c, pair_w, p0[pair_w])
-            us, u = np.unique(triple_u, return_inverse=True)
-            log_t = trie.numerators(index[triple_pair], us, u, log_p[triple_pair])
+            log_t = trie.numerators(index[triple_pair], us, triple_u, log_p[triple_pair])
             # a text's first word has no word before its context; nothing follows a text's end
             real = contexts != np.uint64(START_HASH)
             log_t = np.where(real[pair_c[triple_pair]], log_t, log_p[triple_pair])
             ends = words[pair_w] == np.uint64(int(v.codes(np.array([END_HASH], np.uint64))[0]) | 1 << 40)
-            score = log_t[triple] + np.where(ends, 0.0, weight)[pair]
+            score = (log_t + np.where(ends, 0.0, weight)[triple_pair])[triple]
             base = np.where(real, np.log10(counts + 1), 0.0)[c]
             known = (real & (counts > 0)).astype(np.float64)[c]
             bounds = np.searchsorted(which, np.arange(len(blobs) + 1))

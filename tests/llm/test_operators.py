@@ -329,6 +329,64 @@ class TestLm:
             assert ef.find(probe).tolist() == [at.get(int(x), -1) for x in probe]
             assert ef.get(np.arange(len(v))).tolist() == v.tolist()
 
+    def test_select(self):
+        """The k-th one of a word, for far less than counting the ones of its bytes one by one."""
+        import time
+
+        rng = np.random.RandomState(1)
+        words = rng.randint(1, 1 << 62, 200_000).astype(np.uint64) & rng.randint(1, 1 << 62, 200_000).astype(np.uint64) | np.uint64(1 << 63)
+        words[:2] = (1 << 63, (1 << 64) - 1)
+        k = rng.randint(0, 64, len(words)) % np.bitwise_count(words)
+        k[1] = 63
+
+        def plain():
+            upto = np.cumsum(np.bitwise_count(words.view(np.uint8).reshape(-1, 8)), axis=1, dtype=np.int64)
+            return (upto <= k[:, None]).sum(axis=1)
+
+        def took(f):
+            began = time.process_time()
+            f()
+            return time.process_time() - began
+
+        got = lm.EliasFano._select_in(words, k)
+        want = [[i for i in range(64) if w >> i & 1][n] for w, n in zip(words[:3000].tolist(), k[:3000].tolist())]
+        assert got[:3000].tolist() == want and (got >> 3).tolist() == plain().tolist()
+        assert min(took(lambda: lm.EliasFano._select_in(words, k)) for _ in range(5)) < min(took(plain) for _ in range(5))
+
+    def test_ranks(self):
+        """Both ways to find distinct values agree with numpy's, also where value and place don't fit one number."""
+        rng = np.random.RandomState(2)
+        for n, top in ((0, 5), (1, 1), (5000, 300), (5000, 1 << 61)):
+            x = rng.randint(0, top, n)
+            want = [a.tolist() for a in np.unique(x, return_inverse=True)]
+            assert [a.tolist() for a in lm._ranked(x)] == want == [a.tolist() for a in lm._distinct(x, top)]
+
+    def test_spelling_is_sent_once_a_task(self, monkeypatch):
+        """A task sends each spelling cell once, not once a flush, with the sums of all its flushes, and the counts of all words."""
+        import pyarrow as pa
+
+        monkeypatch.setattr(lm, "BYTES_PER_FLUSH", 20)
+        texts = ["ab abc a", "ab x  é abc\n", "", None, "b ab abc ab", "zz"]
+        held = [False, False, False, False, False, True]
+        rows = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(held), pa.array(texts, pa.string())], names=["doc_id", "held_out", "text"])
+        flushes = [t for _, _, t in lm._flushes([rows])]
+        assert len(flushes) > 1
+        got = [r for b in lm._counted([rows]) for r in b.to_pylist()]
+        cells, n = Counter(), Counter()
+        for flush in flushes:
+            words = [w for t in flush for w in t.split() if w != b"zz"]
+            n.update(words)
+            for w in set(words):
+                spelled = b"  " + w + b" "
+                cells.update(((a * 40503 + b * 30011) >> 3) % lm.ROWS * 256 + c for a, b, c in zip(spelled, spelled[1:], spelled[2:]))
+        sent = [(r["x"], r["n"]) for r in got if r["kind"] == 1]
+        assert dict(sent) == cells and len(sent) == len(cells)
+        sums = Counter()
+        for r in got:
+            if r["kind"] == 0:
+                sums[r["x"] & ((1 << 64) - 1)] += r["n"]
+        assert sums == {int(word_hashes(w)[2][0]): k for w, k in n.items()}
+
     def test_scores(self, documents):
         rows = {r.doc_id: r.text for r in documents.collect()}
         import zlib
