@@ -14,9 +14,10 @@ def first_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def new_files(files: DataFrame, documents: DataFrame) -> DataFrame:
-    """files with file_hash (of content) that documents of the collection don't have yet."""
+    """files with file_hash (of content) that documents of the collection don't have yet. Each hash is joined once, whatever its copies:
+    where the keys are constants, the planner compares every file with every row that is left."""
     hashed = files.withColumn("file_hash", F.sha2("content", 256))
-    return hashed.join(documents.select("collection", "file_hash"), ["collection", "file_hash"], "left_anti")
+    return hashed.join(documents.select("collection", "file_hash").distinct(), ["collection", "file_hash"], "left_anti")
 
 
 def replace_documents(documents: DataFrame, chunks: DataFrame, new_documents: DataFrame) -> tuple[DataFrame, DataFrame]:
