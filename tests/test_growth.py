@@ -1,8 +1,9 @@
 """Work that has to grow no faster than the input."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import state
+from tessera.operators import graph, state
 
 
 def plan(df) -> str:
@@ -13,3 +14,18 @@ def test_new_files_joins_a_hash_once(spark):
     files = spark.range(8).select(F.lit("c").alias("collection"), F.col("id").cast("string").alias("content"))
     left = state.new_files(files, files.select("collection", F.lit("").alias("file_hash")))
     assert left.count() == 8 and "Aggregate" in plan(left).split("Join LeftAnti")[1]
+
+
+def test_communities_of_parts_are_those_of_the_whole(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART_EDGES", 4)
+    rng = np.random.default_rng(3)
+    pairs = {(int(p), int(x), int(y)) for p in range(9) for x, y in rng.integers(0, 3 + p, (2 * p + 1, 2))}
+    edges = [(c, 100 * p + x, 100 * p + y, float(1 + (x * y + p) % 7)) for c in ("g", "h") for p, x, y in pairs if c == "g" or p % 3]
+    nodes = [(c, x) for c, a, b, _ in edges for x in (a, b)] + [("g", 50), ("g", 2000), ("two", 1), ("two", 2)]
+    found = graph.communities(spark.createDataFrame(nodes, "collection string, id long").distinct(), spark.createDataFrame(edges, "collection string, a long, b long, weight double")).collect()
+    for c in ("g", "h"):
+        e, ids = sorted(x for x in edges if x[0] == c), np.array(sorted({x for k, x in nodes if k == c}))
+        for level, r in enumerate((0.5, 1.0, 2.0)):
+            want = graph.louvain(ids, np.array([x[1] for x in e]), np.array([x[2] for x in e]), np.array([x[3] for x in e]), r)
+            assert {x.id: x.community for x in found if (x.collection, x.level) == (c, level)} == dict(zip(ids.tolist(), want.tolist()))
+    assert {x.collection for x in found} == {"g", "h"}
