@@ -1,9 +1,10 @@
 """Work that has to grow no faster than the input."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, state
+from tessera.operators import graph, mixture, state
 
 
 def plan(df) -> str:
@@ -29,3 +30,17 @@ def test_communities_of_parts_are_those_of_the_whole(spark, monkeypatch):
             want = graph.louvain(ids, np.array([x[1] for x in e]), np.array([x[2] for x in e]), np.array([x[3] for x in e]), r)
             assert {x.id: x.community for x in found if (x.collection, x.level) == (c, level)} == dict(zip(ids.tolist(), want.tolist()))
     assert {x.collection for x in found} == {"g", "h"}
+
+
+def test_mixture_is_that_of_spark_where_components_are_left_out(spark, monkeypatch):
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    monkeypatch.setattr(mixture, "FEW", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(0, 1, 2) + 6 * np.array([i % 5, i % 3])).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, x array<double>").repartition(1).select("id", array_to_vector("x").alias("features")).localCheckpoint()
+    model = GaussianMixture(k=40, seed=42, maxIter=200, featuresCol="features", probabilityCol="p").fit(df)
+    want = {(r.id, c): p for r in model.transform(df).select("id", vector_to_array("p").alias("p")).collect() for c, p in enumerate(r.p) if p >= 0.1}
+    got = {(r.id, r.cluster): r.p for r in mixture.soft_members(df, 40, threshold=0.1, seed=42).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
