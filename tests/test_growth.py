@@ -44,3 +44,9 @@ def test_mixture_is_that_of_spark_where_components_are_left_out(spark, monkeypat
     want = {(r.id, c): p for r in model.transform(df).select("id", vector_to_array("p").alias("p")).collect() for c, p in enumerate(r.p) if p >= 0.1}
     got = {(r.id, r.cluster): r.p for r in mixture.soft_members(df, 40, threshold=0.1, seed=42).collect()}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_similar_pairs_shuffle_floats(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, embedding array<float>")
+    found = graph.similar_pairs(df, 0.9)
+    assert "array<double>" not in plan(found) and {(r.a, r.b) for r in found.collect()} == {(i, j) for i in range(5) for j in range(i + 1, 5) if round((1 + i * j) / ((1 + i * i) * (1 + j * j)) ** 0.5, 6) >= 0.9}
