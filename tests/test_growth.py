@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, mixture, state
+from tessera.operators import chunking, graph, mixture, state
 
 
 def plan(df) -> str:
@@ -50,3 +50,10 @@ def test_similar_pairs_shuffle_floats(spark):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, embedding array<float>")
     found = graph.similar_pairs(df, 0.9)
     assert "array<double>" not in plan(found) and {(r.a, r.b) for r in found.collect()} == {(i, j) for i in range(5) for j in range(i + 1, 5) if round((1 + i * j) / ((1 + i * i) * (1 + j * j)) ** 0.5, 6) >= 0.9}
+
+
+def test_chunks_leave_a_task_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, [("| a |\n| --- |\n" + "one two three\n" * 40 * i, "table")]) for i in range(4)], "doc_id long, blocks array<struct<content:string,content_type:string>>")
+    want = sorted(chunking.chunk_blocks(docs, limits={"table": 60}).collect())
+    monkeypatch.setattr(chunking, "BATCH_CHARS", 100)
+    assert len(want) > 10 and sorted(chunking.chunk_blocks(docs, limits={"table": 60}).collect()) == want
