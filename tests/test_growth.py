@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking, graph, mixture, state
+from tessera.operators import chunking, graph, mixture, retrieval, state
 
 
 def plan(df) -> str:
@@ -57,3 +57,11 @@ def test_chunks_leave_a_task_in_parts(spark, monkeypatch):
     want = sorted(chunking.chunk_blocks(docs, limits={"table": 60}).collect())
     monkeypatch.setattr(chunking, "BATCH_CHARS", 100)
     assert len(want) > 10 and sorted(chunking.chunk_blocks(docs, limits={"table": 60}).collect()) == want
+
+
+def test_keyword_search_joins_other_terms_to_holders_of_the_rarest_only(spark):
+    docs = spark.createDataFrame([(i, "often " * (1 + i % 3) + ("rare" if i % 10 == 0 else "")) for i in range(40)], "id long, content string")
+    queries = spark.createDataFrame([(1, "often rare"), (2, "often"), (3, "often never")], "query_id long, query_text string")
+    found = retrieval.keyword_search(queries, docs, 100)
+    assert {r.query_id: r.n for r in found.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {1: 4, 2: 40}
+    assert "min_by" in plan(found)
